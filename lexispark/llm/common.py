@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a whole-text table that one Arrow batch carries, so that a batch of very long texts stays in memory.
@@ -69,9 +69,12 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """mapInArrow over df. make() is called once a task and returns a function from a batch to a dict of columns."""
-    small_batches(df.sparkSession)
+def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, batch_rows: int = TEXT_BATCH_ROWS) -> DataFrame:
+    """mapInArrow over df. make() is called once a task and returns a function from a batch to a dict of columns.
+
+    If that function has an attribute `finish`, it is called after the last batch and returns such a dict too.
+    """
+    small_batches(df.sparkSession, batch_rows)
     ship(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -80,10 +83,14 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+        table = lambda out: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
         for batch in batches:
             out = step(batch)
             if out is not None:
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
+                yield table(out)
+        out = step.finish() if hasattr(step, "finish") else None
+        if out is not None:
+            yield table(out)
 
     return df.mapInArrow(run, target)
 
@@ -92,3 +99,21 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
 def count_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+#: Rows that one task numbers at once, about, in gapless ranks.
+RANKED_ROWS = 125_000
+
+
+def gapless(df: DataFrame, by: str, order: list[str], rows: int, name: str) -> DataFrame:
+    """df with a number from 0, without gaps, among the rows of each value of `by`.
+
+    Values are split by a salt from the ordering columns, so that a value that a third of all rows have is
+    numbered by many tasks: counts by (value, salt) give each salt's first number, a row number within it the rest.
+    """
+    salts = max(4, min(100_000, rows // RANKED_ROWS + 4))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    before = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = salted.groupBy(by, "_salt").agg(F.count("*").alias("_n")).select(by, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(by, "_salt").orderBy(*order)
+    return salted.withColumn("_rn", F.row_number().over(within)).join(first, [by, "_salt"]).withColumn(name, F.col("_first") + F.col("_rn") - 1).drop("_salt", "_rn", "_first")

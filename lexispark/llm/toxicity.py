@@ -228,17 +228,20 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
 
     def make():
         vectors = Vectors(vocabulary)
+        df = np.zeros(n + 1, dtype=np.int64)
 
         def step(batch):
-            df = np.zeros(n + 1, dtype=np.int64)
             texts = batch.column(0).to_pylist()
-            df[n] = len(texts)
+            df[n] += len(texts)
             for text in texts:
                 if text:
                     df[list(vectors.counts(text))] += 1
+
+        def finish():
             met = np.flatnonzero(df)
             return {"term": met, "n": df[met]}
 
+        step.finish = finish
         return step
 
     rows = arrow_rows(docs.select("text"), make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # max_terms + 1 at most
