@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, search, secrets, sharding, token_counts, toxicity
+from . import html, packing, pii, search, secrets, sharding, token_counts, toxicity
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits().alias("edits")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_exact_top_k, op4_token_counts, op6_best_fit_packing, op7_sharding, op9_secret_scan, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_exact_top_k, op4_token_counts, op5_html_extraction, op6_best_fit_packing, op7_sharding, op9_secret_scan, op10_pii)}
 
 _FLOORED = """
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
