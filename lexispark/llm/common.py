@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,30 @@ def count_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+def total_of(parts: DataFrame, dtype: str, tasks: int = 8) -> dict[int, np.ndarray]:
+    """Sums equally long arrays by key: parts has key long and data binary. Tasks add up what they receive one by one, so each holds a sum a key.
+
+    Keys and lengths must not depend on the number of rows; the sums come to the driver.
+    """
+
+    def make():
+        sums: dict[int, np.ndarray] = {}
+
+        def step(batch):
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(data.as_buffer(), dtype=dtype)
+                if key in sums:
+                    sums[key] += x
+                else:
+                    sums[key] = x.copy()
+
+        step.finish = lambda: {"key": list(sums), "data": [x.tobytes() for x in sums.values()]} if sums else None
+        return step
+
+    rows = arrow_rows(parts.repartition(tasks, "key"), make, "key long, data binary", batch_rows=64).collect()
+    return {r["key"]: np.frombuffer(r["data"], dtype=dtype) for r in rows}
+
+
 #: Rows that one task numbers at once, about, in gapless ranks.
 RANKED_ROWS = 125_000
 
