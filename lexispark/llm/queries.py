@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, packing, pii, search, secrets, sharding, token_counts, toxicity
+from . import decontaminate, html, jaccard, packing, pii, search, secrets, sharding, token_counts, toxicity
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits().alias("edits")))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_exact_top_k, op4_token_counts, op5_html_extraction, op6_best_fit_packing, op7_sharding, op8_decontamination, op9_secret_scan, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_exact_top_k, op3_ngram_jaccard, op4_token_counts, op5_html_extraction, op6_best_fit_packing, op7_sharding, op8_decontamination, op9_secret_scan, op10_pii)}
 
 _FLOORED = """
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
