@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a whole-text table that one Arrow batch carries, so that a batch of very long texts stays in memory.
 TEXT_BATCH_ROWS = 1000
@@ -70,14 +71,14 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, batch_rows: int = TEXT_BATCH_ROWS) -> DataFrame:
+def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str | StructType, batch_rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """mapInArrow over df. make() is called once a task and returns a function from a batch to a dict of columns.
 
     If that function has an attribute `finish`, it is called after the last batch and returns such a dict too.
     """
     small_batches(df.sparkSession, batch_rows)
     ship(df.sparkSession)
-    target = df.sparkSession.createDataFrame([], schema).schema
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(target)

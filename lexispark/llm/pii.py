@@ -424,7 +424,6 @@ def mask_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
     columns = docs.columns
     at = columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make():
         finder = Finder(field)
@@ -448,5 +447,5 @@ def mask_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
         return step
 
-    masked = arrow_rows(docs, make, schema)
+    masked = arrow_rows(docs, make, docs.schema)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else masked

@@ -25,6 +25,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,6 +252,26 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
     return int(df[n]), df[:n]
 
 
+def decider(m: Model | None):
+    """A function from a text to its score, the nearest examples, their cosines and the shared terms of most weight."""
+    if m is None:
+        return lambda text: (0.0, [], [], [])
+    index, vectors, names = Index(m), Vectors(m.vocabulary), ["", *m.vocabulary]
+    plain = index.nearest(np.zeros(1, dtype=np.int64), np.ones(1), m.k)  # of any text without vocabulary terms
+    none = (np.empty(0, dtype=np.int64), np.empty(0))
+
+    def decide(text: str | None):
+        counts = vectors.counts(text) if text else {}
+        terms, weights = weigh(counts, m.idf) if counts else (None, None)
+        who, cos = (index.nearest(terms, weights, m.k) if len(counts) > 1 else plain) if counts and counts[0] else none
+        p = float(1 / (1 + np.exp(-np.clip(index.vote(who, cos) @ m.curve, -30, 30))))
+        shared = weights * m.matrix[who][:, terms].sum(axis=0) if len(who) else np.empty(0)
+        evidence = [names[terms[t]] for t in np.argsort(-shared, kind="stable")[:6] if shared[t] > 0 and terms[t]]
+        return p, m.ids[who[:5]], cos[:5], evidence
+
+    return decide
+
+
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:
     """Per row of docs: id, score, predicted, the nearest examples, their cosines and the shared terms of most weight."""
     kind = dict(docs.dtypes)[id_col]
@@ -258,33 +279,43 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", thres
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's parameters
 
     def make():
-        m = held.value
-        if m is None:
-            return lambda batch: {id_col: batch.column(0), "score": [0.0] * len(batch), "predicted": [0] * len(batch), "neighbours": [[]] * len(batch), "cosines": [[]] * len(batch), "evidence": [[]] * len(batch)}
-        index, vectors, names = Index(m), Vectors(m.vocabulary), ["", *m.vocabulary]
-        plain = index.nearest(np.zeros(1, dtype=np.int64), np.ones(1), m.k)  # of any text without vocabulary terms
-        none = (np.empty(0, dtype=np.int64), np.empty(0))
+        decide = decider(held.value)
 
         def step(batch):
-            out = {k: [] for k in ("score", "predicted", "neighbours", "cosines", "evidence")}
-            for text in batch.column(1).to_pylist():
-                counts = vectors.counts(text) if text else {}
-                terms, weights = weigh(counts, m.idf) if counts else (None, None)
-                who, cos = (index.nearest(terms, weights, m.k) if len(counts) > 1 else plain) if counts and counts[0] else none
-                p = float(1 / (1 + np.exp(-np.clip(index.vote(who, cos) @ m.curve, -30, 30))))
-                out["score"].append(p)
-                out["predicted"].append(int(p >= threshold))
-                out["neighbours"].append(m.ids[who[:5]])
-                out["cosines"].append(cos[:5])
-                shared = weights * m.matrix[who][:, terms].sum(axis=0) if len(who) else np.empty(0)
-                out["evidence"].append([names[terms[t]] for t in np.argsort(-shared, kind="stable")[:6] if shared[t] > 0 and terms[t]])
-            return out | {id_col: batch.column(0)}
+            found = [decide(text) for text in batch.column(1).to_pylist()]
+            return {
+                id_col: batch.column(0),
+                "score": [p for p, *_ in found],
+                "predicted": [int(p >= threshold) for p, *_ in found],
+                "neighbours": [x for _, x, _, _ in found],
+                "cosines": [x for _, _, x, _ in found],
+                "evidence": [x for _, _, _, x in found],
+            }
 
         return step
 
     return arrow_rows(docs.select(id_col, "text"), make, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model | None, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs (all columns, in order) whose text scores below the threshold; decided row by row, without a join."""
+    columns = docs.columns
+    at = columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        decide = decider(held.value)
+
+        def step(batch):
+            keep = [i for i, text in enumerate(batch.column(at).to_pylist()) if decide(text)[0] < threshold]
+            kept = batch.take(pa.array(keep, type=pa.int64()))
+            return {c: kept.column(k) for k, c in enumerate(columns)}
+
+        return step
+
+    return arrow_rows(docs, make, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text, modulo 3, is 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
