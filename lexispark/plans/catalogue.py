@@ -1,9 +1,575 @@
-"""The registered queries of the engine's own operators."""
+"""The registered queries over the data set's tables, and the same in SQL.
+
+Every query reads its whole tables. Names, roundings and tie-breaks are the same on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES = {"doc_count_by_lang": lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))}
-ORACLES = {"doc_count_by_lang": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
-FLAGSHIP = "doc_count_by_lang"
+from ..functions import stem as stems
+from ..functions import text as tx
+from ..operators import corpus, extraction, graph, phylo, relations, search, similarity, terms, tree
+from ..sources import connectors, writers
+from ..streaming import ingest
+from ..operators import occurrences as occ
+from . import adapters as ad
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "cooc_by_lang"
+
+TOK = r"""tok AS (
+  SELECT doc_id, lang, source, term FROM (
+    SELECT doc_id, lang, source, unnest(string_split_regex(lower(text), '[,.:;?!(){}\[\]"''\s]+')) AS term FROM documents) WHERE term <> ''),
+occ AS (SELECT doc_id, lang, term, count(*) AS doc_count FROM tok GROUP BY ALL),
+df AS (SELECT term, count(*) AS n_docs FROM occ GROUP BY term)"""
+CTX = r"""ctx AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS abstract, lang, source, (1990 + doc_id % 30)::INT AS year, n_chars::DOUBLE AS score FROM documents),
+links AS (SELECT d.source AS corpus, d.doc_id AS context_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS category, n_chars::DOUBLE AS link_score FROM documents d LEFT JOIN labels l USING (doc_id))"""
+MAP = f"""map AS (SELECT term FROM df ORDER BY n_docs DESC, term LIMIT {ad.MAP_TERMS}),
+items AS (SELECT DISTINCT doc_id, term FROM occ WHERE term IN (SELECT term FROM map)),
+cooc AS (SELECT a.term AS x, b.term AS y, count(*) AS n FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.term >= b.term GROUP BY ALL),
+off AS (SELECT x, y, n FROM cooc WHERE x <> y UNION ALL SELECT y, x, n FROM cooc WHERE x <> y),
+diag AS (SELECT x AS t, n AS nt FROM cooc WHERE x = y)"""
+NODES = """nodes AS (SELECT 'root' AS id, NULL AS parent_id, 1 AS typename, 'root' AS name
+  UNION ALL SELECT 'r' || r_regionkey, 'root', 2, r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 30, n_name FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 31, c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 4, o_orderstatus FROM orders)"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- terms and co-occurrence
+
+
+@query(f"""WITH {TOK}, ldf AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(*) BETWEEN 20 AND 200),
+own AS (SELECT o.lang, o.doc_id, o.term FROM occ o JOIN ldf USING (lang, term))
+SELECT a.lang, a.term AS x, b.term AS y, count(*) AS n FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.lang = b.lang AND a.term >= b.term
+GROUP BY ALL HAVING count(*) > 5 ORDER BY n DESC, a.lang, x, y LIMIT 1000""")
+def cooc_by_lang(spark, d):
+    """The thousand most frequent co-occurrences by language of terms that 20 to 200 documents hold."""
+    own = occ.by_frequency(ad.document_terms(spark, d), 20, 200, by=("lang",))
+    pairs = occ.cooccurrence(own, by=("lang",)).where("n > 5")
+    return pairs.orderBy(F.desc("n"), "lang", "x", "y").limit(1000)
+
+
+@query(f"WITH {TOK} SELECT term, n_docs FROM df WHERE n_docs > 1")
+def term_doc_counts(spark, d):
+    return occ.document_frequency(ad.document_terms(spark, d)).where("n_docs > 1")
+
+
+@query(f"""WITH {TOK}, asked AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(lower(text), '[,.:;?!(){{}}\\[\\]"''\\s]+')) AS term FROM benchmark) WHERE term <> '')
+SELECT a.term, coalesce(n_docs, 0) AS n_docs FROM asked a LEFT JOIN df USING (term)""")
+def term_docs_zero_fill(spark, d):
+    asked = occ.explode_terms(ad.read(spark, d, "benchmark")).distinct()
+    return occ.zero_filled(asked, ad.document_terms(spark, d))
+
+
+@query(f"WITH {TOK}, {MAP} SELECT doc_id, count(DISTINCT term) AS score FROM items GROUP BY doc_id")
+def doc_term_scores(spark, d):
+    return occ.document_scores(ad.document_terms(spark, d), ad.map_terms(spark, d))
+
+
+@query(f"""WITH {TOK}, o AS (SELECT doc_id, count(DISTINCT term) FILTER (term IN ('the', 'of', 'and')) AS n, sum(doc_count) FILTER (term IN ('the', 'of', 'and')) AS hits, sum(doc_count) AS size FROM occ GROUP BY doc_id)
+SELECT doc_id, round(hits / size, 6) AS tf FROM o WHERE n = 3""")
+def docs_with_all_terms_tf(spark, d):
+    return occ.with_all_terms(ad.document_terms(spark, d), ["the", "of", "and"])
+
+
+@query(f"WITH {TOK} SELECT term, doc_id, doc_count FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_count DESC, doc_id) AS r FROM occ) WHERE r = 1")
+def top_context_per_term(spark, d):
+    return occ.top_context(ad.document_terms(spark, d))
+
+
+@query(f"""WITH {TOK}, lo AS (SELECT term, count(*) AS n FROM occ WHERE lang = 'en' GROUP BY term HAVING count(*) > 1), t AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')
+SELECT lo.term, round(t.n / lo.n * ln(t.n / least(df.n_docs, t.n)), 6) AS score FROM lo JOIN df USING (term), t""")
+def tficf_user_vs_master(spark, d):
+    """Scores of the English documents' terms against all documents."""
+    o = ad.document_terms(spark, d)
+    total = ad.read(spark, d, "documents").where("lang = 'en'").count()
+    return similarity.tficf_table(occ.document_frequency(o.where("lang = 'en'")), occ.document_frequency(o), total).select("term", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TOK}, t AS (SELECT count(*) AS n FROM documents), w AS (SELECT sum(n_docs / t.n) AS w FROM df, t) SELECT term, round(n_docs / t.n / w, 9) AS frequency FROM df, t, w")
+def term_normalised_frequency(spark, d):
+    df = occ.document_frequency(ad.document_terms(spark, d))
+    return occ.normalised_frequency(df, ad.read(spark, d, "documents").count()).withColumn("frequency", F.round("frequency", 9))
+
+
+@query(f"WITH {TOK}, {MAP} SELECT x, y, n FROM cooc WHERE n > 1")
+def map_term_cooc(spark, d):
+    return ad.map_cooc(spark, d).where("n > 1")
+
+
+@query(f"""WITH {TOK}, {MAP}, y AS (SELECT unnest(range(1990, 2020)) AS year), p AS (SELECT x, y FROM cooc WHERE x <> y ORDER BY n DESC, x, y LIMIT 20),
+c AS (SELECT a.term AS x, b.term AS y, 1990 + a.doc_id % 30 AS year, count(*) AS n FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.term > b.term GROUP BY ALL)
+SELECT p.x, p.y, y.year::INT AS year, coalesce(n, 0) AS n FROM p CROSS JOIN y LEFT JOIN c ON c.x = p.x AND c.y = p.y AND c.year = y.year""")
+def period_term_cooc_gapfill(spark, d):
+    """The twenty strongest pairs by year, 0 where there is none."""
+    own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d)), "term", "left_semi").withColumn("year", (F.lit(1990) + F.col("doc_id") % 30).cast("int"))
+    yearly = occ.cooccurrence(own.select("year", "doc_id", "term"), by=("year",), diagonal=False)
+    top = yearly.groupBy("x", "y").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "x", "y").limit(20).select("x", "y")
+    years = spark.range(1990, 2020).select(F.col("id").cast("int").alias("year"))
+    return top.join(years, how="cross").join(yearly, ["x", "y", "year"], "left").select("x", "y", "year", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {TOK} SELECT doc_id, count(*) AS n_words, count(DISTINCT term) AS n_terms FROM tok GROUP BY doc_id""")
+def words_of_documents(spark, d):
+    w = ad.read(spark, d, "documents").select("doc_id", tx.tokens("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_terms")).where("n_words > 0")
+
+
+# ---- documents: facets, pages, counts
+
+
+@query(f"WITH {CTX} SELECT id, title, source, year, category, link_score FROM ctx JOIN links ON id = context_id WHERE category >= 1 AND (title ILIKE '%tion%' OR abstract ILIKE '%tion%') ORDER BY year, id LIMIT 50 OFFSET 10")
+def doc_facet_page(spark, d):
+    live = corpus.in_corpus(ad.contexts(spark, d), ad.links(spark, d))
+    return corpus.page(corpus.matching(live, "tion"), "DateAsc", 10, 50, "id").select("id", "title", "source", "year", "category", "link_score")
+
+
+@query(f"WITH {CTX} SELECT corpus, count(*) AS n FROM ctx JOIN links ON id = context_id WHERE category = 0 GROUP BY corpus")
+def doc_trash_count(spark, d):
+    return corpus.in_corpus(ad.contexts(spark, d), ad.links(spark, d), trash=True).groupBy("corpus").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CTX} SELECT year::VARCHAR AS year, count(*) AS n FROM ctx GROUP BY year")
+def docs_year_histogram(spark, d):
+    return corpus.year_histogram(ad.contexts(spark, d).select(F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("date")))
+
+
+@query(f"WITH {CTX} SELECT source, lang, year, count(*) AS n, round(sum(score), 2) AS total FROM ctx GROUP BY ALL")
+def doc_facet_aggregate(spark, d):
+    return ad.contexts(spark, d).groupBy("source", "lang", "year").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"))
+
+
+@query(f"WITH {CTX} SELECT count(*) AS n FROM ctx LEFT JOIN links ON id = context_id WHERE context_id IS NULL OR (corpus = 'src0' AND category >= 1)")
+def corpus_count_unlinked(spark, d):
+    return corpus.in_corpus(ad.contexts(spark, d), ad.links(spark, d), "src0", include_unlinked=True).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'purchase'")
+def events_json_path(spark, d):
+    return ad.read(spark, d, "events").where("event_type = 'purchase'").select("event_id", "event_type", corpus.json_path("props", "k").alias("k"))
+
+
+@query("""SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r <= round(0.1 * n)""")
+def proportional_select(spark, d):
+    """The longest tenth of each source's documents."""
+    w = Window.partitionBy("source")
+    ranked = ad.read(spark, d, "documents").select("doc_id", "source", "n_chars").withColumn("r", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id"))).withColumn("n", F.count("*").over(w))
+    return ranked.where("r <= round(0.1 * n)").select("doc_id", "source", "n_chars")
+
+
+# ---- full text
+
+
+@query(f"WITH {TOK} SELECT DISTINCT doc_id FROM occ WHERE term IN ('nation', 'that', 'entre')")
+def fulltext_or(spark, d):
+    words = ad.read(spark, d, "documents").select("doc_id", F.array_distinct(tx.tokens("text")).alias("stems"))
+    return search.match_any(words, ["nation", "that", "entre"]).select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM occ WHERE term IN ('the', 'that', 'with') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+def fulltext_and(spark, d):
+    words = ad.read(spark, d, "documents").select("doc_id", F.array_distinct(tx.tokens("text")).alias("stems"))
+    return search.match_all(words, ["the", "that", "with"]).select("doc_id")
+
+
+@query()
+def fulltext_stemmed(spark, d):
+    """Documents whose stems hold all stems of a query, by their language's stemmer."""
+    return search.match_all(search.stems_of(ad.read(spark, d, "documents")), search.query_stems("the things with")).select("doc_id")
+
+
+@query(r"""WITH f AS (SELECT doc_id, 'title' AS field, list_filter(string_split_regex(lower(split_part(text, chr(10), 1)), '[,.:;?!(){}\[\]"''\s]+'), lambda w: w <> '') AS ws FROM documents
+  UNION ALL SELECT doc_id, 'abstract', list_filter(string_split_regex(lower(text), '[,.:;?!(){}\[\]"''\s]+'), lambda w: w <> '') FROM documents),
+av AS (SELECT field, avg(len(ws)) AS a FROM f GROUP BY field), n AS (SELECT count(*) AS n FROM documents),
+h AS (SELECT doc_id, field, len(ws) AS l, unnest(ws) AS term FROM f),
+g AS (SELECT doc_id, field, l, term, count(*) AS tf FROM h WHERE term IN ('the', 'that', 'des') GROUP BY ALL),
+x AS (SELECT doc_id, term, sum(CASE WHEN field = 'title' THEN 20 ELSE 5 END * tf / (1 + CASE WHEN field = 'title' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END * (l / a - 1))) AS x FROM g JOIN av USING (field) GROUP BY ALL),
+dd AS (SELECT term, count(*) AS df FROM x GROUP BY term)
+SELECT doc_id, round(sum(ln((n + 0.5::DOUBLE - df) / (df + 0.5::DOUBLE) + 1) * x / (1.5::DOUBLE + x)), 6) AS score FROM x JOIN dd USING (term), n GROUP BY doc_id""")
+def fulltext_ranked(spark, d):
+    c = ad.contexts(spark, d).select(F.col("id").alias("doc_id"), "title", "abstract")
+    return search.bm25f(c, ["the", "that", "des"])
+
+
+# ---- similarity and graphs
+
+
+@query(f"""WITH {TOK}, {MAP}, p AS (SELECT y AS a, x AS b, n, da.nt AS na, db.nt AS nb FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y)
+SELECT CASE WHEN n / nb >= n / na THEN a ELSE b END AS x, CASE WHEN n / nb >= n / na THEN b ELSE a END AS y, round(greatest(n / na, n / nb), 6) AS value FROM p""")
+def conditional_similarity(spark, d):
+    return similarity.conditional(ad.map_cooc(spark, d)).withColumn("value", F.round("value", 6))
+
+
+CONDITIONAL = "m AS (SELECT x, y, n / sum(n) OVER (PARTITION BY y) AS value FROM off), lim AS (SELECT min(v) AS v FROM (SELECT max(value) AS v FROM m GROUP BY x))"
+
+
+@query(f"WITH {TOK}, {MAP}, {CONDITIONAL} SELECT x, y, round(value, 6) AS value FROM m, lim WHERE value >= v")
+def conditional_matrix_minimax(spark, d):
+    return similarity.conditional_matrix(ad.map_cooc(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {TOK}, {MAP}, s AS (SELECT x, sum(n) AS s FROM off GROUP BY x), tot AS (SELECT sum(s) AS total FROM s), t AS (SELECT x AS t FROM s),
+mi AS (SELECT a.t AS x, b.t AS y, coalesce(ln(total * n / (sa.s * sb.s)), 0) AS mi FROM t a CROSS JOIN t b LEFT JOIN off ON off.x = a.t AND off.y = b.t JOIN s sa ON sa.x = a.t JOIN s sb ON sb.x = b.t, tot),
+v AS (SELECT a.x AS x, b.x AS y, sum(least(a.mi, b.mi)) AS top, sum(a.mi) AS bot FROM mi a JOIN mi b ON a.y = b.y AND a.x <> b.x AND a.y <> a.x AND a.y <> b.x GROUP BY ALL)
+SELECT x, y, round(coalesce(top / nullif(bot, 0), 0), 4) AS value FROM v""")
+def log_distributional(spark, d):
+    return similarity.log_distributional(ad.map_cooc(spark, d), keep_all=True).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {TOK}, {MAP}, p AS (SELECT x, y, n / nt AS p FROM cooc JOIN diag ON t = y), k AS (SELECT count(*) AS k FROM diag),
+v AS (SELECT x AS term, (sum(p) - 1) / (any_value(k) - 1) AS v FROM p, k GROUP BY x), h AS (SELECT y AS term, (sum(p) - 1) / (any_value(k) - 1) AS h FROM p, k GROUP BY y)
+SELECT term, round(v + h, 6) AS inclusion, round(v - h, 6) AS specificity FROM v JOIN h USING (term)""")
+def inclusion_specificity(spark, d):
+    return similarity.inclusion_specificity(ad.map_cooc(spark, d)).select("term", F.round("inclusion", 6).alias("inclusion"), F.round("specificity", 6).alias("specificity"))
+
+
+@query(f"""WITH {TOK}, {MAP}, {CONDITIONAL} SELECT x, y, round(value, 6) AS value FROM m, lim WHERE value >= v AND value > 0 ORDER BY m.value DESC, x, y LIMIT (SELECT round(10 * count(*) * ln(count(*)) ^ 2)::BIGINT FROM diag)""")
+def graph_edges_budget(spark, d):
+    return similarity.similarity_links(ad.map_cooc(spark, d)).select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {TOK}, {MAP} SELECT row_number() OVER (ORDER BY t) - 1 AS id, t AS label, nt AS size, round(sin(row_number() OVER (ORDER BY t) - 1), 6) AS x, round(cos(row_number() OVER (ORDER BY t) - 1), 6) AS y FROM diag")
+def graph_nodes_rows(spark, d):
+    return graph.node_rows(ad.map_cooc(spark, d)).select(F.col("id").cast("long").alias("id"), "label", "size", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {TOK}, {MAP}, {CONDITIONAL} SELECT x, y, rank FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY value DESC, y)::INT AS rank FROM (SELECT x, y, round(value, 12) AS value FROM m)) WHERE rank <= 5")
+def knn_links(spark, d):
+    m = similarity.mirrored(ad.map_cooc(spark, d)).withColumn("value", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("y")), 12))
+    return similarity.nearest_links(m, 5).select("x", "y", F.col("rank").cast("int").alias("rank"))
+
+
+@query("""WITH e AS (SELECT DISTINCT cn.c_nationkey AS src, s.s_nationkey AS dst FROM orders o JOIN customer cn ON cn.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE cn.c_nationkey <> s.s_nationkey AND l.l_linenumber = 7 AND l.l_quantity = 50),
+b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), a AS (SELECT src, dst, 1 / count(*) OVER (PARTITION BY src) AS w FROM b)
+SELECT p.src AS start, r.dst AS node, round(sum(p.w * q.w * r.w), 6) AS p FROM a p JOIN a q ON q.src = p.dst JOIN a r ON r.src = q.dst GROUP BY ALL""")
+def random_walk_3(spark, d):
+    """Walks of three steps on the graph of nations that trade lines of quantity 50 in place 7."""
+    lines = ad.read(spark, d, "lineitem").where("l_linenumber = 7 AND l_quantity = 50").select("l_orderkey", "l_suppkey")
+    o, c, s = ad.read(spark, d, "orders"), ad.read(spark, d, "customer"), ad.read(spark, d, "supplier")
+    e = lines.join(o, lines.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, lines.l_suppkey == s.s_suppkey)
+    e = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("src <> dst").distinct()
+    starts = graph.both_ways(e).select(F.col("src").alias("node")).distinct()
+    return graph.walk(e, starts, 3).select("start", "node", F.round("p", 6).alias("p"))
+
+
+# ---- joins, trees, changes
+
+
+@query(f"""WITH RECURSIVE {NODES}, t AS (SELECT id, 0 AS depth FROM nodes WHERE id = 'root' UNION ALL SELECT n.id, depth + 1 FROM t JOIN nodes n ON n.parent_id = t.id)
+SELECT depth::INT AS depth, count(*) AS n FROM t GROUP BY depth""")
+def tree_descendants(spark, d):
+    nodes = ad.node_tree(spark, d)
+    return tree.descendants(nodes, nodes.where("id = 'root'").select("id")).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {NODES}, o AS (SELECT id, parent_id FROM nodes WHERE typename = 4) SELECT o.id, n.id AS closest FROM o JOIN nodes c ON c.id = o.parent_id JOIN nodes n ON n.id = c.parent_id AND n.typename = 30""")
+def tree_ancestor_of_type(spark, d):
+    nodes = ad.node_tree(spark, d)
+    return tree.closest_of_type(nodes, nodes.where("typename = 4").select("id"), 30)
+
+
+@query("""SELECT r_name, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r_name""")
+def left_join_chain_5(spark, d):
+    r, n, c, o, li = (ad.read(spark, d, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
+    chain = relations.left_chain(r, (n, F.col("n_regionkey") == F.col("r_regionkey")), (c, F.col("c_nationkey") == F.col("n_nationkey")), (o, F.col("o_custkey") == F.col("c_custkey")), (li, F.col("l_orderkey") == F.col("o_orderkey")))
+    return chain.groupBy("r_name").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""WITH c AS (SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS a FROM customer), s AS (SELECT s_suppkey, regexp_replace(s_name, '[^0-9]', '', 'g') AS b FROM supplier),
+j AS (SELECT c_custkey, s_suppkey, levenshtein(a, b) AS distance, row_number() OVER (PARTITION BY c_custkey ORDER BY levenshtein(a, b), s_suppkey) AS r FROM c JOIN s ON levenshtein(a, b) <= 1)
+SELECT c_custkey, s_suppkey, distance::INT AS distance FROM j WHERE r = 1""")
+def pairing_levenshtein(spark, d):
+    """Customers and suppliers whose numbers differ by one edit at most, nearest first."""
+    c = ad.read(spark, d, "customer").select("c_custkey", F.regexp_replace("c_name", "[^0-9]", "").alias("a"))
+    s = ad.read(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "[^0-9]", "").alias("b"))
+    return relations.fuzzy_nearest(c, s, "a", "b", 1).select("c_custkey", "s_suppkey", F.col("distance").cast("int").alias("distance"))
+
+
+PAIRS = "p AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part)"
+
+
+def _pairs(spark, d):
+    return ad.read(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
+
+
+@query(f"""WITH {PAIRS}, l AS (SELECT p_partkey, a, b, list_distinct(string_split(a, '')) AS cs FROM p),
+s AS (SELECT p_partkey, a, b, list_sum(list_transform(cs, lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) AS k FROM l)
+SELECT p_partkey, round(k / (length(a) + length(b) - k), 6) AS jaccard, round(k / least(length(a), length(b)), 6) AS overlap FROM s""")
+def char_jaccard_pairs(spark, d):
+    return _pairs(spark, d).select("p_partkey", F.round(tx.char_jaccard("a", "b"), 6).alias("jaccard"), F.round(tx.overlap_coefficient("a", "b"), 6).alias("overlap"))
+
+
+@query(f"WITH {PAIRS} SELECT p_partkey, levenshtein(a, b)::INT AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS norm FROM p")
+def levenshtein_pairs(spark, d):
+    return _pairs(spark, d).select("p_partkey", F.levenshtein("a", "b").alias("distance"), F.round(tx.levenshtein_norm("a", "b"), 6).alias("norm"))
+
+
+@query(f"WITH {PAIRS} SELECT p_partkey, damerau_levenshtein(a, b)::INT AS distance FROM p")
+def damerau_pairs(spark, d):
+    return _pairs(spark, d).select("p_partkey", stems.damerau_udf()("a", "b").alias("distance"))
+
+
+@query(f"WITH {PAIRS} SELECT p_partkey, CASE WHEN length(a) = length(b) THEN hamming(a, b) END::INT AS distance FROM p")
+def hamming_pairs(spark, d):
+    return _pairs(spark, d).select("p_partkey", tx.hamming("a", "b").alias("distance"))
+
+
+@query(r"SELECT sha256(lower(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}]', '', 'g')) || lower(regexp_replace(text, '[^\p{L}]', '', 'g')) || lower(regexp_replace(source, '[^\p{L}]', '', 'g'))) AS hash_id, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def doc_identity_hash(spark, d):
+    c = ad.contexts(spark, d)
+    return c.select(tx.identity_hash("title", "abstract", "source").alias("hash_id"), "id").groupBy("hash_id").agg(F.min("id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(text, '[.?!]'), lambda x: trim(x) <> '') AS ss FROM documents)
+SELECT doc_id, len(ss) AS n_sentences, len(range(1, len(ss) + 1, 7)) AS n_windows FROM s""")
+def sentence_windows(spark, d):
+    s = ad.read(spark, d, "documents").select("doc_id", F.filter(tx.sentence_parts("text"), lambda x: F.trim(x) != "").alias("ss"))
+    return s.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.size(tx.windows_of("ss", 10, 7)).cast("long").alias("n_windows"))
+
+
+@query("""WITH b AS (SELECT y AS first, y + 2 AS last FROM (SELECT unnest(range(1992, 1997, 2)) AS y)), o AS (SELECT o_orderkey, year(o_orderdate) AS year FROM orders)
+SELECT first::INT AS first, last::INT AS last, count(*) AS n FROM b JOIN o ON year BETWEEN first AND last GROUP BY ALL""")
+def period_docs(spark, d):
+    """Orders by overlapping periods of three years at a step of two; each date is expanded to its periods, so no range join."""
+    o = ad.read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("date"))
+    return phylo.into_periods(o, 1992, 1998, 3, 2).groupBy("first", "last").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)::BIGINT AS delta FROM events GROUP BY user_id""")
+def events_signed_counts(spark, d):
+    """Signed changes summed by key: what the triggers keep."""
+    change = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return ad.read(spark, d, "events").groupBy("user_id").agg(F.sum(change).cast("long").alias("delta"))
+
+
+@query("""WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang <> 'en') SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'insert' ELSE 'delete' END AS change FROM a FULL JOIN b ON a.source = b.source WHERE a.source IS NULL OR b.source IS NULL""")
+def list_difference(spark, d):
+    docs = ad.read(spark, d, "documents")
+    a, b = (docs.where(w).select("source").distinct().withColumn("v", F.lit(1)) for w in ("lang = 'en'", "lang <> 'en'"))
+    return relations.changed(a, b, "source", "v")
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, 1)::INT AS category FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def category_update(spark, d):
+    docs = ad.read(spark, d, "documents").select("doc_id", F.lit(1).alias("category"))
+    return relations.update_from(docs, ad.read(spark, d, "labels").select("doc_id", F.col("quality").alias("category")), ["doc_id"], "category").select("doc_id", F.col("category").cast("int").alias("category"))
+
+
+@query("""SELECT d.doc_id, l.doc_id IS NULL AS is_new FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def upsert_report(spark, d):
+    return relations.upsert_report(ad.read(spark, d, "labels").select("doc_id"), ad.read(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+# ---- term lists, extraction
+
+
+@query(f"""WITH {TOK}, s AS (SELECT term, n_docs, row_number() OVER (ORDER BY n_docs DESC, term) AS r FROM df WHERE length(term) > 3)
+SELECT term, n_docs, CASE WHEN r <= 9 THEN 'MapTerm' ELSE 'CandidateTerm' END AS list FROM s WHERE r <= 1000""")
+def list_build_simple(spark, d):
+    """Without votes and stop terms: the nine terms of most documents, then candidates, a thousand in all."""
+    counts = occ.document_frequency(ad.document_terms(spark, d)).where(F.length("term") > 3)
+    none = spark.createDataFrame([], "term string")
+    return terms.build_simple_list(counts, none, none)
+
+
+@query(f"""WITH {TOK}, l AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY ALL), old AS (SELECT DISTINCT term, 'CandidateTerm' AS l FROM l WHERE lang = 'en' AND n >= 20), new AS (SELECT DISTINCT term, 'MapTerm' AS l FROM l WHERE lang = 'fr' AND n >= 20)
+SELECT coalesce(old.term, new.term) AS term, old.l AS old_list, new.l AS new_list FROM old FULL JOIN new ON old.term = new.term""")
+def list_diff_by_language(spark, d):
+    df = occ.document_frequency(ad.document_terms(spark, d), by=("lang",)).where("n_docs >= 20")
+    part = lambda lang, kind: df.where(F.col("lang") == lang).select("term", F.lit(kind).alias("list"))
+    return terms.diff(part("en", "CandidateTerm"), part("fr", "MapTerm"))
+
+
+@query("""WITH p AS (SELECT event_id AS version, 'u' || user_id AS term, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old_list, event_type AS new_list FROM events),
+v AS (SELECT term, old_list AS list, -1 AS v FROM p WHERE old_list IS NOT NULL UNION ALL SELECT term, new_list, 1 FROM p) SELECT term, list, sum(v)::BIGINT AS vote FROM v GROUP BY ALL""")
+def patch_votes(spark, d):
+    """The event log as patches of a list: votes for the new kind and against the old."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = ad.read(spark, d, "events").select(F.col("event_id").alias("version"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("term"), F.lag("event_type").over(w).alias("old_list"), F.col("event_type").alias("new_list"))
+    return terms.votes(e)
+
+
+@query("SELECT 'u' || user_id AS term, arg_min(event_type, event_id) AS old_list, arg_max(event_type, event_id) AS new_list, max(event_id) AS version FROM events WHERE event_id > 100 GROUP BY user_id")
+def patch_pull(spark, d):
+    """Patches since version 100: the last of each term."""
+    e = ad.read(spark, d, "events").select(F.col("event_id").alias("version"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("term"), "event_type")
+    first = e.where("version > 100").groupBy("term").agg(F.min_by("event_type", "version").alias("old_list"))
+    last = terms.pull(e.select("version", "term", F.lit(None).cast("string").alias("old_list"), F.col("event_type").alias("new_list")), 100)
+    return last.drop("old_list").join(first, "term").select("term", "old_list", "new_list", "version")
+
+
+@query(f"""WITH {TOK}, w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT DISTINCT array_to_string(list_slice(list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> ''), 1, 3), ' ') AS form FROM benchmark),
+r AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) AS form FROM w WHERE len(ws) >= 3)
+SELECT doc_id, form AS label, count(*) AS n FROM r JOIN f USING (form) GROUP BY ALL""")
+def dictionary_match(spark, d):
+    """The first three words of each benchmark item as forms, found in all documents."""
+    b = ad.read(spark, d, "benchmark").select(F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("form")).where(F.size(F.split("form", " ")) == 3)
+    return extraction.match_dictionary(ad.read(spark, d, "documents").select("doc_id", "text"), b.select(F.col("form").alias("label"), "form"), longest=3)
+
+
+@query()
+def key_phrases(spark, d):
+    return extraction.key_phrases(ad.read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
+
+
+@query()
+def lang_detect(spark, d):
+    """Each document's language by the characters of benchmark-sized samples: the profile is trained on the labelled documents' languages."""
+    docs = ad.read(spark, d, "documents").select("doc_id", "lang", "text")
+    lab = ad.read(spark, d, "labels").select("doc_id").orderBy("doc_id").limit(200)  # the training sample's bound
+    profile = extraction.char_profile(docs.join(F.broadcast(lab), "doc_id", "left_semi"))
+    return extraction.detect_language(docs, profile).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(F.count("*").alias("n"))
+
+
+@query()
+def segment_terms(spark, d):
+    """Benchmark items cut into terms by autonomy learnt from all of them."""
+    return extraction.segment_terms(ad.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 3)
+
+
+@query()
+def more_like_favourites(spark, d):
+    """Documents without a label most like those of quality 1, against those of quality 0."""
+    o = ad.document_terms(spark, d).select("doc_id", "term", F.col("doc_count").alias("n"))
+    lab = ad.read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("favourite"))
+    return extraction.more_like(o, lab, limit=100)
+
+
+@query(f"""WITH {TOK}, c AS (SELECT doc_id, array_to_string(list_sort(string_split(replace(term, '-', ' '), ' ')), ' ') AS k, term FROM occ WHERE term LIKE '%-%'), g AS (SELECT k, min(term) AS root FROM (SELECT DISTINCT k, term FROM c) GROUP BY k HAVING count(*) > 1)
+SELECT DISTINCT c.term, g.root FROM c JOIN g USING (k)""")
+def grouped_forms(spark, d):
+    """Hyphenated forms of the same words, whatever their order."""
+    t = ad.document_terms(spark, d).where("term LIKE '%-%'").select("term")
+    return terms.grouped_forms(t, F.array_join(F.array_sort(F.split(F.replace(F.col("term"), F.lit("-"), F.lit(" ")), " ")), " "))
+
+
+# ---- graphs and temporal graphs
+
+
+def _link_edges(spark, d):
+    m = similarity.conditional(ad.map_cooc(spark, d)).where("value >= 0.9")
+    return m.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.col("value").alias("weight"))
+
+
+@query(f"""WITH RECURSIVE {TOK}, {MAP}, p AS (SELECT y AS a, x AS b FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y AND greatest(n / da.nt, n / db.nt) >= 0.9),
+e AS (SELECT a AS s, b AS t FROM p UNION SELECT b, a FROM p), r AS (SELECT DISTINCT s AS node, s AS seen FROM e UNION SELECT r.node, e.t FROM r JOIN e ON e.s = r.seen)
+SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def components(spark, d):
+    return graph.components(_link_edges(spark, d))
+
+
+@query()
+def communities(spark, d):
+    return graph.communities(_link_edges(spark, d))
+
+
+@query()
+def confluence(spark, d):
+    return graph.confluence(_link_edges(spark, d), 3).withColumn("value", F.round("value", 6))
+
+
+@query()
+def maximal_cliques(spark, d):
+    return graph.maximal_cliques(_link_edges(spark, d)).select(F.array_join("clique", " ").alias("clique"))
+
+
+@query(f"""WITH {TOK}, {MAP}, p AS (SELECT y AS a, x AS b, da.nt AS na, db.nt AS nb, n FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y),
+e AS (SELECT CASE WHEN n / nb >= n / na THEN a ELSE b END AS src, CASE WHEN n / nb >= n / na THEN b ELSE a END AS dst, greatest(n / na, n / nb) AS weight FROM p WHERE greatest(n / na, n / nb) >= 0.9),
+g AS (SELECT src, dst, weight, length(src) % 3 AS c1, length(dst) % 3 AS c2 FROM e), z AS (SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY weight DESC, src, dst) AS r, count(*) OVER (PARTITION BY c1, c2) AS m FROM g)
+SELECT src, dst, round(weight, 6) AS weight FROM z WHERE c1 = c2 OR r <= 2 * round(100 * m / (SELECT max(m) FROM z))""")
+def bridge_topk(spark, d):
+    """Links inside clusters (terms by length modulo three) and the strongest between them."""
+    e = _link_edges(spark, d)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return graph.bridge_links(e, nodes.withColumn("cluster", F.length("node") % 3), 1.0).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS i FROM lineitem), s1 AS (SELECT i::VARCHAR AS items, count(*) AS freq FROM b GROUP BY i HAVING count(*) >= 25),
+s2 AS (SELECT a.i::VARCHAR || ' ' || c.i::VARCHAR AS items, count(*) AS freq FROM b a JOIN b c ON a.o = c.o AND a.i < c.i GROUP BY a.i, c.i HAVING count(*) >= 25)
+SELECT items, freq FROM s1 UNION ALL SELECT items, freq FROM s2""")
+def itemsets(spark, d):
+    """Suppliers that come together in orders: closed sets of one or two in 25 orders at least."""
+    b = ad.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
+    return graph.frequent_itemsets(b, "items", 25).where(F.size("items") <= 2).select(F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "freq")
+
+
+@query(f"""WITH {TOK}, n AS (SELECT count(*) AS nd FROM documents), w AS (SELECT term, ln(nd + 1 / tan(pi() / 4)) / ln(n_docs + 1 / tan(pi() / 4)) AS w FROM df, n),
+i AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> ''))) AS term FROM benchmark),
+s AS (SELECT a.item_id AS x, b.item_id AS y, sum(w) AS shared FROM i a JOIN i b ON a.term = b.term AND a.item_id < b.item_id JOIN w ON w.term = a.term GROUP BY ALL),
+t AS (SELECT item_id, sum(w) AS total FROM i JOIN w USING (term) GROUP BY item_id)
+SELECT s.x, s.y, round(shared / (a.total + b.total - shared), 6) AS similarity FROM s JOIN t a ON a.item_id = s.x JOIN t b ON b.item_id = s.y""")
+def weighted_log_jaccard(spark, d):
+    """Benchmark items as groups of terms, weighted by all documents' counts."""
+    df = occ.document_frequency(ad.document_terms(spark, d))
+    g = ad.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(tx.tokens("text")).alias("terms"))
+    known = g.select("id", F.explode("terms").alias("term")).join(df, "term", "left_semi").groupBy("id").agg(F.collect_set("term").alias("terms"))
+    each = known.select("id", F.explode("terms").alias("term"))
+    pairs = each.join(each.select(F.col("id").alias("y"), "term"), "term").where("id < y").select(F.col("id").alias("x"), "y").distinct()
+    pairs = pairs.join(known.select(F.col("id").alias("x"), F.col("terms").alias("a")), "x").join(known.select(F.col("id").alias("y"), F.col("terms").alias("b")), "y")
+    return phylo.pair_similarity(pairs, df, ad.read(spark, d, "documents").count(), 0.5).select("x", "y", F.round("similarity", 6).alias("similarity"))
+
+
+def _phylo_groups(spark, d):
+    own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d, 160)), "term", "left_semi")
+    rare = own.join(F.broadcast(ad.map_terms(spark, d, 130)), "term", "left_anti")
+    docs = rare.groupBy("doc_id").agg(F.collect_set("term").alias("terms")).withColumn("date", (F.lit(1990) + F.col("doc_id") % 30).cast("int"))
+    placed = phylo.into_periods(docs, 1990, 2019, 6, 6)
+    clusters = phylo.without_nested(phylo.filter_clusters(phylo.clusters_of_periods(placed, kind="cliques", threshold=12, size=3), 1))
+    return phylo.groups(clusters)
+
+
+@query()
+def phylo_groups(spark, d):
+    return _phylo_groups(spark, d).select("id", "first", "last", F.array_join("terms", " ").alias("terms"), "weight")
+
+
+@query()
+def phylo_branches(spark, d):
+    """Groups in branches after raising the threshold of links."""
+    g = _phylo_groups(spark, d).persist()
+    df = occ.document_frequency(ad.document_terms(spark, d))
+    best, kept = phylo.sea_level_rise(g, df, ad.read(spark, d, "documents").count(), step=6, frame=2)
+    return phylo.branch_dates(best).withColumn("threshold", F.lit(kept))
+
+
+# ---- crawled pages, streams, hashes
+
+
+@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), lambda p: p <> ''), chr(10)) AS text FROM pages""")
+def article_paragraphs(spark, d):
+    return connectors.article_text(ad.read(spark, d, "pages")).select("page_id", "text")
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END)::BIGINT AS total FROM events GROUP BY user_id")
+def stream_signed_counts(spark, d):
+    """The definition of the streamed counts, over the whole table; tests run the same function on a stream."""
+    return ingest.live_deltas(ad.read(spark, d, "events"), "user_id", F.when(F.col("event_type") == "error", -1).otherwise(1)).withColumn("total", F.col("total").cast("long"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, d):
+    return ingest.windowed_counts(ad.read(spark, d, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+@query(f"""WITH {TOK}, {MAP}, g AS (SELECT doc_id, string_agg(term, '' ORDER BY term) AS t FROM items GROUP BY doc_id) SELECT doc_id, sha256(doc_id::VARCHAR || sha256(t)) AS hash FROM g""")
+def corpus_row_hashes(spark, d):
+    """Documents with their map terms, hashed as the corpus export does."""
+    own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d)), "term", "left_semi").select("doc_id", "term")
+    return writers.corpus_rows(ad.read(spark, d, "documents").select("doc_id", "source"), own).select("document.doc_id", "hash")
