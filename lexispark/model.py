@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_s = T.StringType()
-
 #: A document as readers return it; all fields can be null.
 DOCUMENT_FIELDS = {
     "bdd": "string", "doi": "string", "url": "string", "page": "int", "title": "string", "authors": "string", "institutes": "string", "source": "string", "abstract": "string",
     "publication_date": "string", "publication_year": "int", "publication_month": "int", "publication_day": "int", "language_iso2": "string",
 }
 DOCUMENT_DDL = ", ".join(f"{k} {v}" for k, v in DOCUMENT_FIELDS.items())
-DOCUMENT = T.StructType.fromDDL(DOCUMENT_DDL)
+DOCUMENT = T.StructType([T.StructField(k, T.IntegerType() if v == "int" else T.StringType()) for k, v in DOCUMENT_FIELDS.items()])
 
 CONTACT_DDL = "who struct<id:string,firstName:string,lastName:string,keywords:array<string>>, where array<struct<organization:array<string>,labTeamDepts:array<string>,role:string,office:string,country:string,city:string>>, touch struct<mail:string,phone:string,url:string>"
 

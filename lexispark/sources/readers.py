@@ -121,7 +121,7 @@ def read_iramuteq(spark: SparkSession, path) -> DataFrame:
     r = spark.read.text(path, lineSep="**** ").where(F.trim("value") != "")
     head, body = F.split("value", "\n", 2)[0], F.get(F.split("value", "\n", 2), F.lit(1))
     marks = F.regexp_extract_all(head, F.lit(r"\*([^_\s]+)_(\S+)"), F.lit(1)), F.regexp_extract_all(head, F.lit(r"\*([^_\s]+)_(\S+)"), F.lit(2))
-    return r.select(F.map_from_arrays(*marks).alias("marks"), F.trim(body).alias("text"))
+    return r.select(F.map_from_arrays(*marks).alias("marks"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"))
 
 
 def read_wikimedia(spark: SparkSession, path) -> DataFrame:
