@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Spark's setting to delete shuffle files at the end of an execution.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a whole-text table that one Arrow batch carries, so that a batch of very long texts stays in memory.
 TEXT_BATCH_ROWS = 1000
 
@@ -41,7 +43,12 @@ class Staged:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        held = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table takes the place of the shuffle files that made it
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(SHUFFLE_CLEANUP) if held is None else self.spark.conf.set(SHUFFLE_CLEANUP, held)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -8,9 +8,12 @@ linked pair must share one. They are dealt out in blocks of columns; columns wit
 product and are dropped there. (3) Overlap counts accumulate over columns for pairs of rows, and pairs whose sizes differ too much, or whose
 count falls below what their sizes demand of the prefixes, are discarded. (4) What is left is decided by whole sets.
 
-Groups of near copies don't become all their pairs: (3) and (4) run first for each row with
-the hubs (smallest ids) of its columns alone, links found so join rows into components, and the second,
-complete run takes only pairs across components. No link between different components is lost, so components are exact.
+Groups of near copies don't become all their pairs. (3) and (4) run first for each row with
+the hubs (smallest ids) of its columns alone; rows linked with a hub make its group, and links join groups into
+components. The second, complete run compares groups of different components that meet in a column: their
+hubs are decided by whole sets, and as 1 - Jaccard is a metric, members can be linked only if their
+distances from their hubs make up for what the hubs' distance exceeds the threshold by; only
+such members are compared. No link between different components is lost, so components are exact.
 
 Nulls: a null text has no words, an empty set and no links; rows with a null doc_id get a null component. Texts of fewer words than n are
 one shingle. Repeated ids are one node. Empty tables give no rows. Extra columns are ignored.
@@ -24,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, arrow_rows, total_of
+from .common import Staged, arrow_rows, count_of, total_of
 
 #: Counters of the sketch, as a power of two; its size doesn't depend on the data.
 SKETCH_BITS = 19
 #: Postings that one block of columns holds, about, and how many a task gathers before it hands them on.
 BLOCK_POSTINGS, GATHERED = 400_000, 1_000_000
+#: Pairs that may be broadcast (two numbers each); more are joined by shuffles.
+SMALL = 500_000
 #: Rows of a column beyond which it is dealt out by rows as well.
 HOT_COLUMN = 50_000
 
@@ -58,9 +63,15 @@ def needed(na, nb, percent: int):
 
 
 def prefix_size(n, percent: int):
+    """Elements of a set of which a linked set must share one."""
     return n - (-((-percent * n) // 100)) + 1
 
 
+def index_size(n, percent: int):
+    """Elements of a set of which a linked set, not smaller than it, must share one."""
+    return n - needed(n, n, percent) + 1
+
+
 def digests(docs: DataFrame, n: int) -> Staged:
     """Rows (doc_id, n, c1, c2) of documents, and rows (key, data) of the sketch, in one scan."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -98,29 +109,29 @@ def digests(docs: DataFrame, n: int) -> Staged:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, blocks: int) -> DataFrame:
-    """Blocks of columns: rows (block, hashes, ids) of packed arrays. Copies within a task are left out but for the first."""
+    """Blocks of columns: rows (block, hashes, ids, marks) of packed arrays; a mark says that the column is in the row's shorter, index prefix. Copies within a task are left out but for the first."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def make():
         counts = held.value
         seen: set[bytes] = set()
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         gathered = 0
 
         def hand_on():
             nonlocal kept, gathered
             if not kept:
                 return None
-            h, d = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
+            h, d, f = (np.concatenate(x) for x in zip(*kept))
             kept, gathered = [], 0
             block = (h % np.uint64(blocks)).astype(np.int64)
             hot = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // HOT_COLUMN
             salt = np.where(hot > 0, 1 + d % (hot + 1), 0)
             key = block + blocks * salt
             order = np.argsort(key, kind="stable")
-            key, h, d = key[order], h[order], d[order]
+            key, h, d, f = key[order], h[order], d[order], f[order]
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() + [len(key)]
-            return {"block": [int(key[a]) for a in cuts[:-1]], "hashes": [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "ids": [d[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+            return {"block": [int(key[a]) for a in cuts[:-1]], "hashes": [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "ids": [d[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "marks": [f[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
 
         def step(batch):
             nonlocal gathered
@@ -135,48 +146,52 @@ def postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int, blocks:
                 c = np.minimum(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
                 order = (c << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
                 p = int(prefix_size(len(s), percent))
-                last = np.partition(order, p - 1)[p - 1] if p < len(s) else order.max()
-                s = s[order <= last]  # equal places are all taken
-                kept.append((s, np.full(len(s), doc, dtype=np.int64)))
+                q = int(index_size(len(s), percent))
+                ranks = np.partition(order, sorted({p - 1, q - 1}))
+                taken = order <= ranks[p - 1]  # equal places are all taken
+                s, front = s[taken], order[taken] <= ranks[q - 1]
+                kept.append((s, np.full(len(s), doc, dtype=np.int64), front))
                 gathered += len(s)
             return hand_on() if gathered >= GATHERED else None
 
         step.finish = hand_on
         return step
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "block long, hashes binary, ids binary")
+    return arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "block long, hashes binary, ids binary, marks binary")
 
 
 def shared_columns(blocks: DataFrame, count: int) -> DataFrame:
-    """(h, d) of the columns with two rows or more. Blocks that hold part of a common column keep all of it."""
+    """(h, d, f) of the columns with two rows or more. Blocks that hold part of a common column keep all of it."""
 
     def make():
-        own: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        own: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def step(batch):
-            for b, h, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                own.setdefault(b, []).append((np.frombuffer(h.as_buffer(), dtype=np.uint64).copy(), np.frombuffer(d.as_buffer(), dtype=np.int64).copy()))
+            for b, *x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                own.setdefault(b, []).append(tuple(np.frombuffer(y.as_buffer(), dtype=t).copy() for y, t in zip(x, (np.uint64, np.int64, np.bool_))))
 
         def finish():
-            out_h, out_d = [], []
+            out = []
             for b, parts in own.items():
-                h, d = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+                h, d, f = (np.concatenate(x) for x in zip(*parts))
                 if b < count:
                     order = np.argsort(h, kind="stable")
-                    h, d = h[order], d[order]
+                    h, d, f = h[order], d[order], f[order]
                     same = h[1:] == h[:-1]
                     keep = np.r_[False, same] | np.r_[same, False]
-                    h, d = h[keep], d[keep]
-                out_h.append(h)
-                out_d.append(d)
+                    h, d, f = h[keep], d[keep], f[keep]
+                out.append((h, d, f))
             own.clear()
-            return {"h": np.concatenate(out_h).view(np.int64), "d": np.concatenate(out_d)} if out_h else None
+            if not out:
+                return None
+            h, d, f = (np.concatenate(x) for x in zip(*out))
+            return {"h": h.view(np.int64), "d": d, "f": f}
 
         step.finish = finish
         return step
 
     tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, count)
-    return arrow_rows(blocks.repartition(tasks, "block"), make, "h long, d long", batch_rows=256)
+    return arrow_rows(blocks.repartition(tasks, "block"), make, "h long, d long, f boolean", batch_rows=256)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,41 +220,51 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(state.df.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Staged:
-    """Those of the pairs (a, b) whose whole sets are similar enough. Texts are read again for the documents of the pairs only."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Staged:
+    """(a, b, linked, distance) of the pairs (a, b), from whole sets. Texts are read again for the documents of the pairs only."""
+    pairs = Staged(pairs.select("a", "b"), "compare")
+    few = count_of(pairs.df) <= SMALL  # of two numbers each: else both joins shuffle
+    hint = F.broadcast if few else lambda df: df
+    first, second = pairs.df.select(F.col("a").alias("doc_id")).distinct(), pairs.df.select(F.col("b").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hint(first.union(second).distinct()), "doc_id", "left_semi")
 
     def sets():
         return lambda batch: {"doc_id": batch.column(0), "s": [shingle_hashes(t, n).tobytes() for t in batch.column(1).to_pylist()]}
 
     known = Staged(arrow_rows(texts, sets, "doc_id long, s binary"), "sets")
-    left = pairs.select("a", "b").join(known.df.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(known.df.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
+    left = known.df.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).join(hint(pairs.df), "b")
+    right = known.df.join(hint(first), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    both = left.join(right, "a").select("a", "b", "sa", "sb")
 
     def decide():
         def step(batch):
-            a, b = [], []
-            for x, y, sx, sy in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            link, distance = [], []
+            for sx, sy in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(sx.as_buffer(), dtype=np.uint64), np.frombuffer(sy.as_buffer(), dtype=np.uint64)
                 both = np.concatenate([p, q])
                 both.sort()
-                if int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), percent):
-                    a.append(x)
-                    b.append(y)
-            return {"a": a, "b": b}
+                i = int((both[1:] == both[:-1]).sum())
+                link.append(i >= needed(len(p), len(q), percent))
+                distance.append(1 - i / (len(p) + len(q) - i))
+            return {"a": batch.column(0), "b": batch.column(1), "linked": link, "distance": distance}
 
         return step
 
-    out = Staged(arrow_rows(both, decide, "a long, b long", batch_rows=200), "links")
+    out = Staged(arrow_rows(both, decide, "a long, b long, linked boolean, distance double", batch_rows=200), "compared")
     known.drop()
+    pairs.drop()
     return out
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    read = digests(docs, n)
+    steps: list[Staged] = []
+
+    def keep(table: Staged) -> Staged:
+        steps.append(table)
+        return table
+
+    read = keep(digests(docs, n))
     rows = read.df.where("key IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "c1", "c2")
     parts = total_of(read.df.where("key IS NOT NULL").select("key", "data"), "<i4")
     width = 1 << 15
@@ -252,38 +277,72 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     count = max(8, int(whole * (100 - percent) / 100 / BLOCK_POSTINGS) + 1)
     member = named.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), "n", F.col("rep").alias("r")).distinct()
     columns = shared_columns(postings(docs, sketch, n, percent, count), count)
-    table = Staged(columns.join(member, "d").select("h", "r", "n").distinct(), "columns").df
+    table = keep(Staged(columns.join(member, "d").groupBy("h", "r", "n").agg(F.max("f").alias("f")), "columns")).df
     # first run: each row with the hubs of its columns
     hubs = table.groupBy("h").agg(F.min(F.struct("r", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
     starred = table.join(hubs, "h").select(F.col("hub.r").alias("a"), F.col("hub.n").alias("na"), F.col("r").alias("b"), F.col("n").alias("nb")).where("a <> b")
     counted = enough(starred, percent)
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("k <= 2").select("a", "b")
-    first = linked(docs, Staged(best, "pairs").df, n, percent)
-    roots = Staged(components(first.df), "roots").df
-    # second run: all pairs across components
-    labelled = table.join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("h", "r", "n", F.coalesce("root", "r").alias("root"))
-    mixed = labelled.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    labelled = labelled.join(mixed, "h", "left_semi")
-    a, b = (labelled.select("h", F.col("r").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    crossed = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    pairs = Staged(enough(crossed.select("a", "na", "b", "nb"), percent).select("a", "b"), "pairs").df
-    second = linked(docs, pairs, n, percent)
-    joined = first.df.union(second.df)
-    final = components(joined)
+    first = keep(compared(docs, best, n, percent)).df.where("linked")
+    roots = keep(Staged(components(first), "roots")).df
+    groups = first.groupBy(F.col("b").alias("r")).agg(F.min(F.struct("distance", F.col("a").alias("hub"))).alias("g"))
+    rows = table.select("r", "n").distinct().join(groups, "r", "left").join(roots.select(F.col("node").alias("r"), "root"), "r", "left")
+    rows = keep(Staged(rows.select("r", "n", F.coalesce("g.hub", "r").alias("g"), F.coalesce("g.distance", F.lit(0.0)).alias("d"), F.coalesce("root", "r").alias("root")), "groups")).df
+    # second run: groups of different components that meet in a column
+    own = rows.groupBy("g", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("d").alias("reach"), F.count("*").alias("size"))
+    met = table.join(rows.select("r", "g", "root"), "r").groupBy("h", "g", "root").agg(F.max("f").alias("f"), F.min("n").alias("low"), F.max("n").alias("high"))
+    mixed = met.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    met = met.join(mixed, "h", "left_semi")
+    x, y = (met.select("h", F.col("g").alias(f"g{i}"), F.col("root").alias(f"r{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"), F.col("f").alias(f"f{i}")) for i in "xy")
+    fits = (F.col("lowx") * percent <= F.col("highy") * 100) & (F.col("lowy") * percent <= F.col("highx") * 100)
+    pairs = x.join(y.where("fy"), "h").where((F.col("rx") != F.col("ry")) & fits).select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
+    side = lambda i: own.select(F.col("g").alias(i), F.col("root").alias(f"r{i}"), F.col("reach").alias(f"reach{i}"), F.col("size").alias(f"size{i}"), F.col("low").alias(f"n{i}"))
+    pairs = keep(Staged(pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb"), "met")).df
+    # where both groups are one row, their shared columns are counted against the bound from their sizes
+    single = pairs.where("sizea = 1").select(F.col("a").alias("g")).union(pairs.where("sizeb = 1").select("b")).distinct()
+    alone = table.join(rows.join(single, "g", "left_semi").where("g = r").select("r"), "r", "left_semi").groupBy("r").agg(F.collect_set("h").alias("hs"))  # no more than the row's own prefix
+    pairs = pairs.join(alone.select(F.col("r").alias("a"), F.col("hs").alias("ha")), "a", "left").join(alone.select(F.col("r").alias("b"), F.col("hs").alias("hb")), "b", "left")
+    enough_shared = F.size(F.array_intersect("ha", "hb")) >= least_shared(F.col("na"), F.col("nb"), percent)
+    pairs = keep(Staged(pairs.where(F.col("ha").isNull() | F.col("hb").isNull() | enough_shared).select("a", "b", "reacha", "reachb", "sizea", "sizeb"), "pairs")).df
+    second = keep(compared(docs, pairs.select("a", "b"), n, percent)).df
+    # hubs too far for a link: members that could be near enough
+    limit = 1 - percent / 100 + 1e-9
+    far = pairs.join(second.where("NOT linked"), ["a", "b"]).where(F.col("distance") <= F.col("reacha") + F.col("reachb") + limit)
+    # a is the smaller group: its members come first, and the larger one's are compared with them as they are joined
+    turned = F.col("sizea") > F.col("sizeb")
+    swap = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    far = keep(Staged(far.select(swap("a", "b", "a"), swap("b", "a", "b"), swap("reacha", "reachb", "reacha"), swap("reachb", "reacha", "reachb"), "distance"), "far")).df
+    near = rows.join(far.select(F.col("a").alias("g")).union(far.select("b")).distinct(), "g", "left_semi")
+    near = near.join(table.join(near.select("r"), "r", "left_semi").groupBy("r").agg(F.collect_set("h").alias("hs")), "r")  # no more than each row's own prefix
+    near = keep(Staged(near.select("g", "r", "n", "d", "hs"), "near")).df
+    ends = lambda i: near.select(F.col("g").alias(i), *(F.col(c).alias(f"{k}{i}") for c, k in (("r", "m"), ("n", "n"), ("d", "d"), ("hs", "h"))))
+    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    shared = F.size(F.array_intersect("ha", "hb")) >= least_shared(F.col("na"), F.col("nb"), percent)
+    far = far.join(ends("a"), "a").where(F.col("da") >= F.col("distance") - F.col("reachb") - limit)
+    far = far.join(ends("b"), "b").where((F.col("da") + F.col("db") >= F.col("distance") - limit) & sized & shared)
+    far = far.where((F.col("ma") != F.col("a")) | (F.col("mb") != F.col("b"))).select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct()
+    third = keep(compared(docs, far, n, percent)).df
+    final = components(first.union(second.where("linked")).union(third.where("linked")))
+    for table in steps:
+        table.drop()
     return named.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
+def least_shared(na, nb, percent: int):
+    """How many columns the prefixes of linked sets of these sizes share at least."""
+    least = F.ceil((percent * (na + nb)) / F.lit(100 + percent) - 1e-9)
+    prefix = lambda x: x - F.ceil(percent * x / F.lit(100) - 1e-9) + 1
+    return F.least(prefix(na) - na + least, prefix(nb) - nb + least)
+
+
 def enough(pairs: DataFrame, percent: int) -> DataFrame:
     """Accumulates overlap counts (c) of pairs (a, na, b, nb) over columns, and discards pairs below the bound from their sizes.
 
     Of linked sets all but n - needed elements of a prefix are shared, and what the shorter reaching prefix shares lies in both.
     """
     na, nb = F.col("na"), F.col("nb")
-    least = F.ceil((percent * (na + nb)) / F.lit(100 + percent) - 1e-9)
-    prefix = lambda x: x - F.ceil(percent * x / F.lit(100) - 1e-9) + 1
-    bound = F.least(prefix(na) - na + least, prefix(nb) - nb + least)
     sized = pairs.where((na * 100 >= nb * percent) & (nb * 100 >= na * percent))
-    return sized.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= bound)
+    return sized.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= least_shared(na, nb, percent))
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
