@@ -146,7 +146,9 @@ def histograms(rows: DataFrame, held, low: np.ndarray, high: np.ndarray, width:
             for a in range(0, len(vec), CHUNK):
                 s = scores(q, v[a : a + CHUNK], exact)
                 i, j = np.nonzero((s >= low[:, None]) & (s <= high[:, None]) & (ids_[:, None] != vec[None, a : a + CHUNK]))
-                np.add(total, np.bincount(i * BINS + (s[i, j] - low[i]) // width[i], minlength=len(total)), out=total)
+                # as unsigned numbers, since the interval can be longer than half the range of a long
+                bins = (s[i, j].astype(np.uint64) - low[i].astype(np.uint64)) // width[i].astype(np.uint64)
+                np.add(total, np.bincount(i * BINS + bins.astype(np.int64), minlength=len(total)), out=total)
 
         def finish():
             at = np.flatnonzero(total)
