@@ -78,28 +78,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
         left, rank = histogram[length], 0
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} doesn't fit {capacity}")
+
+        def fill(first: int, count: int, room: int) -> int:
+            """Puts pieces of this length into sequences with this room, as many into each as fit; how many sequences took any."""
+            nonlocal left, rank
+            used = 0
+            while left and used < count:
+                each = min(room // length, left)
+                n = min(count - used, left // each)
+                for k in range(each):
+                    slots.append((length, rank, n, first + used, capacity - room + k * length))
+                    rank += n
+                left -= n * each
+                by_room.setdefault(room - each * length, []).append(Kind(first + used, n, room - each * length))
+                used += n
+            return used
+
         room = length
-        while left and room < capacity:
-            while left and by_room.get(room):
-                kind = by_room[room][-1]
-                n = min(left, kind.count)
-                slots.append((length, rank, n, kind.first, capacity - room))
-                if n == kind.count:
-                    by_room[room].pop()
-                else:
-                    kind.first, kind.count = kind.first + n, kind.count - n
-                # filled sequences may take another piece of this length when their room comes up again
-                by_room.setdefault(room - length, []).append(Kind(slots[-1][3], n, room - length))
-                left, rank = left - n, rank + n
+        while left and room < capacity:  # the fullest sequences first; those filled here have less room than a piece, or took the last one
+            kinds = by_room.pop(room, [])
+            while left and kinds:
+                kind = kinds.pop()
+                used = fill(kind.first, kind.count, room)
+                if used < kind.count:
+                    kinds.append(Kind(kind.first + used, kind.count - used, room))
+            by_room.setdefault(room, []).extend(kinds)
             room += 1
-        while left:  # new sequences, as many pieces of this length in each as fit
-            each = min(capacity // length, left)
-            n = left // each
-            for k in range(each):
-                slots.append((length, rank, n, total, k * length))
-                rank += n
-            by_room.setdefault(capacity - each * length, []).append(Kind(total, n, capacity - each * length))
-            total, left = total + n, left - n * each
+        if left:
+            total += fill(total, left, capacity)
     return slots, total
 
 
