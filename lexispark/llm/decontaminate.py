@@ -146,8 +146,9 @@ def find_leaks(
 
     df = total_of(arrow_rows(staged.select("ids"), passages, "key long, data binary"), "<i8").get(0, np.zeros(n + 1, dtype=np.int64))
     total = int(df[n]) + 1
-    # words of very many passages carry no sense here; they count in the subsequence check alone
-    idf = np.where(df[:n] <= max(20, max_share * total), np.log((1 + total) / (1 + df[:n])) ** 2, 0.0)
+    # words of very many passages carry no sense here; they count in the subsequence check alone. Three quarters of the terms stay in any case
+    most = max(20, max_share * total, float(np.quantile(df[:n], 0.75)))
+    idf = np.where(df[:n] <= most, np.log((1 + total) / (1 + df[:n])) ** 2, 0.0)
     item_ids = [np.array([vocabulary[w] for w in ws], dtype=np.int32) for _, ws in items]
     counts = np.zeros((len(items), n), dtype=np.float32)
     for i, x in enumerate(item_ids):
