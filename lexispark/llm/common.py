@@ -110,6 +110,10 @@ def count_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+#: Parts of one key that a task adds up, about.
+SUMMED = 64
+
+
 def total_of(parts: DataFrame, dtype: str, tasks: int = 8) -> dict[int, np.ndarray]:
     """Sums equally long arrays by key: parts has key long and data binary. Tasks add up what they receive one by one, so each holds a sum a key.
 
@@ -130,7 +134,12 @@ def total_of(parts: DataFrame, dtype: str, tasks: int = 8) -> dict[int, np.ndarr
         step.finish = lambda: {"key": list(sums), "data": [x.tobytes() for x in sums.values()]} if sums else None
         return step
 
-    rows = arrow_rows(parts.repartition(tasks, "key"), make, "key long, data binary", batch_rows=64).collect()
+    add = lambda df, n, *by: arrow_rows(df.repartition(n, *by).select("key", "data"), make, "key long, data binary", batch_rows=64)
+    given = parts.rdd.getNumPartitions()
+    if given > SUMMED:  # sums of sums: no task reads more than so many parts of a key
+        salts = -(-given // SUMMED)
+        parts = add(parts.withColumn("_salt", F.spark_partition_id() % salts), min(4096, tasks * salts), "key", "_salt")
+    rows = add(parts, tasks, "key").collect()
     return {r["key"]: np.frombuffer(r["data"], dtype=dtype) for r in rows}
 
 
