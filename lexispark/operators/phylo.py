@@ -256,3 +256,91 @@ def branch_labels(group: DataFrame, n: int = 3) -> DataFrame:
 def merged_pointers(links: DataFrame) -> DataFrame:
     """Links found in both directions as one, with the greater weight."""
     return links.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("similarity").alias("similarity"))
+
+
+def adaptive_ladder(similarities: list[float], steps: int) -> list[float]:
+    """Thresholds at even places among the sorted distinct similarities, squared: driver work on a bounded list of rounded values."""
+    xs = sorted(set(similarities))
+    if not xs:
+        return []
+    return [xs[min(len(xs) - 1, int(len(xs) * k / steps))] ** 2 for k in range(steps)]
+
+
+def evolving_ladder(scores: list[tuple[float, float]]) -> list[float]:
+    """Thresholds at which quality has a local maximum: (threshold, quality) in order."""
+    return [scores[i][0] for i in range(1, len(scores) - 1) if scores[i - 1][1] < scores[i][1] > scores[i + 1][1]]
+
+
+def weighted_similarity(pairs: DataFrame, term_counts: DataFrame, documents: int, sense: float = 0.5) -> DataFrame:
+    """pairs (a, b) with `similarity`: the weight of shared terms over that of the lighter of both."""
+    p = pairs.withColumn("_p", F.monotonically_increasing_id())
+    w = term_counts.select("term", inverse_log(F.col("n_docs"), F.lit(documents), sense).alias("w"))
+    each = p.select("_p", "a", "b", F.explode(F.array_union("a", "b")).alias("term")).join(w, "term")
+    inside = lambda c: F.when(F.array_contains(c, F.col("term")), F.col("w")).otherwise(0.0)
+    both = F.when(F.array_contains("a", F.col("term")) & F.array_contains("b", F.col("term")), F.col("w")).otherwise(0.0)
+    s = each.groupBy("_p").agg(F.sum(both).alias("shared_w"), F.sum(inside("a")).alias("aw"), F.sum(inside("b")).alias("bw"))
+    return p.join(s, "_p", "left").withColumn("similarity", F.coalesce(F.try_divide(F.col("shared_w"), F.least("aw", "bw")), F.lit(0.0))).drop("_p", "shared_w", "aw", "bw")
+
+
+def confidence(cooc: DataFrame) -> DataFrame:
+    """(x, y, value): the larger of n_xy / n_x and n_xy / n_y."""
+    d = cooc.where("x = y").select(F.col("x").alias("t"), F.col("n").alias("nt"))
+    off = cooc.where("x <> y")
+    both = off.join(d.withColumnRenamed("t", "x").withColumnRenamed("nt", "nx"), "x").join(d.withColumnRenamed("t", "y").withColumnRenamed("nt", "ny"), "y")
+    return both.select("x", "y", F.greatest(F.col("n") / F.col("nx"), F.col("n") / F.col("ny")).alias("value"))
+
+
+def ancestors(group: DataFrame, links: DataFrame, term_counts: DataFrame, documents: int, *, threshold: float = 0.1) -> DataFrame:
+    """(head, other, similarity): for groups without a parent the groups of earlier periods in other branches that are most alike."""
+    heads = group.join(links.select(F.col("dst").alias("id")), "id", "left_anti")
+    each = heads.select(F.col("id").alias("head"), "branch", "first", F.col("terms").alias("a"), F.explode("terms").alias("term"))
+    old = group.select(F.col("id").alias("other"), F.col("branch").alias("b2"), F.col("first").alias("f2"), F.col("terms").alias("b"), F.explode("terms").alias("term"))
+    pairs = each.join(old, "term").where("branch <> b2 AND f2 < first").select("head", "other", "a", "b").distinct()
+    scored = pair_similarity(pairs, term_counts, documents).where(F.col("similarity") >= threshold)
+    r = F.row_number().over(Window.partitionBy("head").orderBy(F.desc(F.round("similarity", 9)), "other"))
+    return scored.withColumn("_r", r).where("_r = 1").select("head", "other", "similarity")
+
+
+def diamonds(links: DataFrame) -> DataFrame:
+    """(parent, child, between): pairs of groups with two groups or more between them."""
+    down = links.select(F.col("src").alias("parent"), F.col("dst").alias("mid"))
+    up = links.select(F.col("src").alias("mid"), F.col("dst").alias("child"))
+    return down.join(up, "mid").groupBy("parent", "child").agg(F.array_sort(F.collect_set("mid")).alias("between")).where(F.size("between") > 1)
+
+
+def term_scores(group: DataFrame, cooc: DataFrame) -> DataFrame:
+    """(id, term, genericity, specificity, inclusion) of terms within their group: conditional sums over its other terms, over their number + 1."""
+    each = group.select("id", F.explode("terms").alias("x"), "terms")
+    pairs = each.select("id", "x", F.size("terms").alias("k"), F.explode("terms").alias("y")).where("x <> y")
+    sym = cooc.where("x <> y").select("x", "y", "n").unionByName(cooc.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    d = cooc.where("x = y").select(F.col("x").alias("t"), F.col("n").alias("nt"))
+    p = pairs.join(sym, ["x", "y"], "left").join(d.select(F.col("t").alias("x"), F.col("nt").alias("nx")), "x").join(d.select(F.col("t").alias("y"), F.col("nt").alias("ny")), "y")
+    n = F.coalesce("n", F.lit(0))
+    s = p.groupBy("id", F.col("x").alias("term"), "k").agg(F.sum(n / F.col("ny")).alias("g"), F.sum(n / F.col("nx")).alias("s"))
+    over = F.col("k") + 1
+    return s.select("id", "term", (F.col("g") / over).alias("genericity"), (F.col("s") / over).alias("specificity"), ((F.col("g") + F.col("s")) / over).alias("inclusion"))
+
+
+def inclusive_labels(group: DataFrame, cooc: DataFrame, n: int = 2, *, emergent: bool = False) -> DataFrame:
+    """(id, label): the n terms of greatest inclusion in each group; with emergent, new terms first among equals."""
+    s = term_scores(group, cooc).withColumn("inclusion", F.round("inclusion", 9))
+    s = s.join(term_dynamics(group), ["id", "term"])
+    order = [F.desc("inclusion"), F.asc("dynamic"), "term"] if emergent else [F.desc("inclusion"), "term"]
+    r = s.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("r") <= n)
+    return r.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("label"))
+
+
+def weighted_itemsets(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """sets (items) with the weight and sources of all documents (terms, weight, sources) that hold them; candidates share a set's rarest term."""
+    s = sets.select("items").distinct()
+    each = docs.withColumn("_d", F.monotonically_increasing_id()).select("_d", "terms", "weight", "sources", F.explode("terms").alias("t"))
+    df = each.groupBy("t").agg(F.count("*").alias("n"))
+    key = s.select("items", F.explode("items").alias("t")).join(df, "t").groupBy("items").agg(F.min(F.struct("n", "t")).alias("m")).select("items", F.col("m.t").alias("t"))
+    hit = key.join(each, "t").where(F.size(F.array_except("items", "terms")) == 0)
+    return hit.groupBy("items").agg(F.count("*").alias("support"), F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+def default_level(edges: int, nodes: int) -> float:
+    """A level of granularity from the mean degree of the seabed's links: dense graphs are cut finer. Bounds are parameters of this engine."""
+    degree = 2 * edges / max(1, nodes)
+    return 0.1 if degree < 1 else 0.3 if degree < 2 else 0.5 if degree < 4 else 0.7

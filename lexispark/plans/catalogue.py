@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import stem as stems
 from ..functions import text as tx
-from ..operators import corpus, extraction, graph, phylo, relations, search, similarity, terms, tree
+from ..operators import accounts, corpus, counters, extraction, graph, matrix, phylo, relations, search, series, similarity, terms, tree
 from ..sources import connectors, writers
 from ..streaming import ingest
 from ..operators import occurrences as occ
 from . import adapters as ad
+from . import api
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -573,3 +574,109 @@ def corpus_row_hashes(spark, d):
     """Documents with their map terms, hashed as the corpus export does."""
     own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d)), "term", "left_semi").select("doc_id", "term")
     return writers.corpus_rows(ad.read(spark, d, "documents").select("doc_id", "source"), own).select("document.doc_id", "hash")
+
+
+# ---- matrices, series, counters, accounts
+
+
+def _matrix(spark, d):
+    """Quantities ordered by the nation of the customer and of the supplier."""
+    o, c, s, li = ad.read(spark, d, "orders"), ad.read(spark, d, "customer"), ad.read(spark, d, "supplier"), ad.read(spark, d, "lineitem")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    return j.groupBy(F.col("c_nationkey").alias("i"), F.col("s_nationkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+MATRIX = "m AS (SELECT c_nationkey AS i, s_nationkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+@query(f"WITH {MATRIX} SELECT i, j, round(v / sum(v) OVER (PARTITION BY j), 6) AS v FROM m")
+def matrix_column_probability(spark, d):
+    return matrix.column_probability(_matrix(spark, d)).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {MATRIX} SELECT a.i, b.j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL")
+def matrix_product(spark, d):
+    m = _matrix(spark, d)
+    return matrix.product(m, m).select("i", "j", F.round("v", 2).alias("v"))
+
+
+@query(f"WITH {MATRIX}, r AS (SELECT i, sum(v) AS v FROM m WHERE i <> j GROUP BY i), c AS (SELECT j AS i, sum(v) AS w FROM m WHERE i <> j GROUP BY j), g AS (SELECT i, v AS d FROM m WHERE i = j) SELECT i, round(v, 2) AS row_sum, round(w, 2) AS column_sum, round(d, 2) AS diagonal FROM r LEFT JOIN c USING (i) LEFT JOIN g USING (i)")
+def matrix_marginals(spark, d):
+    m = _matrix(spark, d)
+    r, c = matrix.row_sums(m, diagonal=False), matrix.column_sums(m, diagonal=False).select(F.col("j").alias("i"), F.col("v").alias("w"))
+    out = r.join(c, "i", "left").join(matrix.diagonal(m).select("i", F.col("v").alias("d")), "i", "left")
+    return out.select("i", F.round("v", 2).alias("row_sum"), F.round("w", 2).alias("column_sum"), F.round("d", 2).alias("diagonal"))
+
+
+@query(f"WITH {MATRIX}, f AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.v, 0) - coalesce(b.v, 0) AS v FROM m a FULL JOIN m b ON a.i = b.j AND a.j = b.i) SELECT i, j, round(v, 2) AS v FROM f WHERE v <> 0")
+def matrix_difference(spark, d):
+    m = _matrix(spark, d)
+    return matrix.elementwise(m, matrix.transpose(m), lambda a, b: a - b).select("i", "j", F.round("v", 2).alias("v"))
+
+
+@query(f"WITH {MATRIX}, p AS (SELECT a.i, a.j, a.v FROM m a LEFT JOIN m b ON a.i = b.j AND a.j = b.i WHERE a.i <> a.j AND (a.v > coalesce(b.v, -1) OR (a.v = b.v AND a.i < a.j))) SELECT i, j, round(v, 2) AS v FROM p")
+def matrix_larger_direction(spark, d):
+    return matrix.larger_direction(_matrix(spark, d)).select("i", "j", F.round("v", 2).alias("v"))
+
+
+@query("""WITH n AS (SELECT date_trunc('day', o_orderdate)::DATE AS day, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS a, lead(n) OVER (ORDER BY day) AS b FROM n) SELECT day, n FROM w WHERE n > a AND n > b""")
+def order_peaks(spark, d):
+    n = ad.read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return series.local_maxima(n, "day", "n")
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS p, year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT p, year, n, coalesce(sum(n) OVER (PARTITION BY p ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n""")
+def running_orders(spark, d):
+    n = ad.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    return series.running_before(n, "year", "n", "p")
+
+
+@query("""WITH c AS (SELECT doc_id, source, CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS new FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1), """ + TOK + """
+SELECT c.source AS corpus, term, -count(*) AS n FROM c JOIN occ USING (doc_id) WHERE new = 0 GROUP BY ALL""")
+def trash_deltas(spark, d):
+    """Changes of the counts by corpus and term when toxic documents go to the trash."""
+    lab = ad.read(spark, d, "labels").where("toxic = 1 OR quality = 1")
+    changes = ad.read(spark, d, "documents").select("doc_id", "source").join(lab, "doc_id").select(F.col("source").alias("corpus"), F.col("doc_id").alias("context_id"), F.lit(1).alias("old"), F.when(F.col("toxic") == 1, 0).otherwise(1).alias("new"))
+    return counters.after_changes(changes, ad.document_terms(spark, d).select(F.col("doc_id").alias("context_id"), "term")).withColumn("n", F.col("n").cast("long"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, text, length(text) AS n FROM conversations) SELECT conv_id, arg_max(role, turn) AS last_role, count(*) AS turns, sum(n)::BIGINT AS chars FROM p GROUP BY conv_id""")
+def conversation_facets(spark, d):
+    return ad.read(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"), F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"WITH {NODES} SELECT b.id, b.parent_id, b.typename FROM nodes b WHERE b.parent_id = 'r1' OR b.parent_id IN (SELECT id FROM nodes WHERE parent_id = 'r1')")
+def tree_two_levels(spark, d):
+    return accounts.two_levels(ad.node_tree(spark, d), "r1").select("id", "parent_id", "typename")
+
+
+@query(f"""WITH {NODES}, c AS (SELECT o.parent_id AS c, count(*) AS n FROM nodes o WHERE typename = 4 GROUP BY 1), n AS (SELECT k.parent_id AS n, sum(c.n) AS n2 FROM c JOIN nodes k ON k.id = c.c GROUP BY 1), r AS (SELECT k.parent_id AS r, sum(n2) AS n3 FROM n JOIN nodes k ON k.id = n.n GROUP BY 1)
+SELECT c AS id, n::BIGINT AS total FROM c UNION ALL SELECT n, n2::BIGINT FROM n UNION ALL SELECT r, n3::BIGINT FROM r UNION ALL SELECT 'root', sum(n3)::BIGINT FROM r""")
+def tree_counts(spark, d):
+    """Orders below every node of the tree."""
+    nodes = ad.node_tree(spark, d)
+    counts = nodes.where("typename = 4").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    return tree.counts_by_tree(nodes, counts)
+
+
+@query(f"WITH {TOK}, {MAP} SELECT y AS x, x AS y, round(greatest(n / da.nt, n / db.nt), 6) AS value FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y")
+def term_confidence(spark, d):
+    return phylo.confidence(ad.map_cooc(spark, d)).select(F.col("y").alias("x"), F.col("x").alias("y"), F.round("value", 6).alias("value"))
+
+
+@query()
+def embedding_components(spark, d):
+    """The two directions of greatest variance of the embeddings."""
+    e = ad.read(spark, d, "embeddings")
+    return matrix.principal_components(e, "embedding", 2).select("vec_id", F.round(F.col("components")[0], 4).alias("a"), F.round(F.col("components")[1], 4).alias("b"))
+
+
+@query()
+def term_communities_graph(spark, d):
+    nodes, edges = api.term_graph(ad.map_cooc(spark, d), threshold=0.02)
+    return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT lang, year, count(*) AS n FROM (SELECT lang, 1990 + doc_id % 30 AS year FROM documents) GROUP BY ALL")
+def facet_by_language_year(spark, d):
+    return ad.contexts(spark, d).groupBy("lang", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
