@@ -48,6 +48,9 @@ BOILER = set(
 )
 COMMENT = set("comment comments commentlist disqus reply replies respond discussion thread".split())
 CONTENT = set("article content post entry story main maincontent articlebody text body prose blogpost".split())
+#: Words with which a header belongs to an article; prefixes after which a word says what is beside the element, not in it.
+TITLED = {"article", "post", "entry", "story"}
+NOT_OWN = re.compile(r"\b(?:has|with|no|without|is)[-_]\w+")
 FORM = {"form", "button", "fieldset", "label", "option", "dialog"}
 SIDE = {"nav", "footer", "aside", "menu", "search"}
 
@@ -93,14 +96,17 @@ def marks_of(tag: str, attributes: str) -> frozenset:
         out.add("header")
     elif tag in ("article", "main"):
         out.add("content")
-    if attributes:
+    if attributes and tag not in ("html", "body"):  # their classes describe the whole page
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             low = value.lower()
             if name in ("hidden",) or (name == "aria-hidden" and low == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low)):
                 out.add("hidden")
             elif name in ("class", "id", "role"):
-                words = set(WORDS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower()))
+                spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower()
+                words = set(WORDS.findall(NOT_OWN.sub(" ", spaced)))
+                if words & TITLED:  # the heading of the article, not of the site
+                    words.discard("header")
                 if words & BOILER or low in ("navigation", "contentinfo", "complementary"):
                     out.add("boiler")
                 if words & COMMENT:
