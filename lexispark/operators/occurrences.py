@@ -101,3 +101,38 @@ def argmax(df: DataFrame, key: str, value: str) -> DataFrame:
     """All keys that reach the greatest value."""
     top = df.agg(F.max(value).alias("_top"))
     return df.join(F.broadcast(top), F.col(value) == F.col("_top")).select(key, value)
+
+
+def counts_by_root(occ: DataFrame, roots: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(term, n_docs): distinct documents of each root over all its forms, as a pie or histogram of a list shows them."""
+    return merge_synonyms(occ, roots, key).groupBy("term").agg(F.countDistinct(key).alias("n_docs"))
+
+
+def recent_frequency(occ: DataFrame, dates: DataFrame, n: int, key: str = "doc_id", date: str = "date") -> DataFrame:
+    """(term, n_docs) over the documents of the dates that the n most recent documents have."""
+    latest = dates.orderBy(F.desc(date), key).limit(n).select(date).distinct()
+    recent = dates.join(F.broadcast(latest), date, "left_semi").select(key)
+    return occ.join(recent, key, "left_semi").groupBy("term").agg(F.countDistinct(key).alias("n_docs"))
+
+
+def by_stem(occ: DataFrame, lang: str = "en") -> DataFrame:
+    """(stem, label, n): occurrences by stem, labelled by the most frequent form, ties to the smaller. Distinct terms are stemmed once each."""
+    from ..functions.stem import stem_udf
+
+    counts = occ.groupBy("term").agg(F.sum("doc_count").alias("c"))
+    return counts.withColumn("stem", stem_udf(lang)("term")).groupBy("stem").agg(F.min_by("term", F.struct(-F.col("c"), "term")).alias("label"), F.sum("c").alias("n"))
+
+
+def bipartite(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(x, y, n): contexts that hold an item of one kind and an item of the other: a (key, x), b (key, y)."""
+    return a.distinct().join(b.distinct(), key).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+def mapped_counts(df: DataFrame, values: str, mapping: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, n): rows by the name of each of their values, or the value itself, most first."""
+    each = df.select(F.explode(values).alias(key)).join(mapping.select(key, name), key, "left")
+    return each.groupBy(F.coalesce(name, key).alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
+
+
+def mean_size(docs: DataFrame, text: str = "abstract") -> DataFrame:
+    return docs.agg(F.avg(F.length(text)).alias("mean"))

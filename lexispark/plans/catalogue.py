@@ -680,3 +680,77 @@ def term_communities_graph(spark, d):
 @query("SELECT lang, year, count(*) AS n FROM (SELECT lang, 1990 + doc_id % 30 AS year FROM documents) GROUP BY ALL")
 def facet_by_language_year(spark, d):
     return ad.contexts(spark, d).groupBy("lang", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
+
+
+# ---- charts and changes
+
+
+@query(f"""WITH {TOK}, m AS (SELECT term FROM df ORDER BY n_docs DESC, term LIMIT 400), r AS (SELECT a.term, b.term AS root FROM m a JOIN m b ON a.term = b.term || 's'),
+o AS (SELECT DISTINCT doc_id, coalesce(root, occ.term) AS term FROM occ JOIN m USING (term) LEFT JOIN r ON r.term = occ.term) SELECT term, count(*) AS n_docs FROM o GROUP BY term""")
+def pie_by_root(spark, d):
+    """Documents of the 400 most frequent terms, plural forms under their singular."""
+    m = ad.map_terms(spark, d, 400)
+    own = ad.document_terms(spark, d).join(F.broadcast(m), "term", "left_semi")
+    roots = m.join(m.select(F.concat("term", F.lit("s")).alias("term"), F.col("term").alias("root")), "term")
+    return occ.counts_by_root(own, roots)
+
+
+@query("""WITH y AS (SELECT unnest(range(1990, 2020)) AS date), c AS (SELECT 1990 + doc_id % 30 AS date, count(*) AS n FROM documents WHERE lang = 'es' AND n_chars > 3000 GROUP BY 1) SELECT y.date, coalesce(n, 0) AS n FROM y LEFT JOIN c USING (date)""")
+def docs_per_date_gapfill(spark, d):
+    n = ad.read(spark, d, "documents").where("lang = 'es' AND n_chars > 3000").groupBy((F.lit(1990) + F.col("doc_id") % 30).cast("long").alias("date")).agg(F.count("*").alias("n"))
+    return occ.date_gap_fill(n, "date", "n", 1990, 2019)
+
+
+@query(f"""WITH {TOK}, t AS (SELECT doc_id, 1990 + doc_id % 30 AS date FROM documents), l AS (SELECT DISTINCT date FROM (SELECT date FROM t ORDER BY date DESC, doc_id LIMIT 50)) SELECT term, count(*) AS n_docs FROM occ JOIN t USING (doc_id) WHERE date IN (SELECT date FROM l) GROUP BY term""")
+def recent_term_frequency(spark, d):
+    dates = ad.read(spark, d, "documents").select("doc_id", (F.lit(1990) + F.col("doc_id") % 30).alias("date"))
+    return occ.recent_frequency(ad.document_terms(spark, d), dates, 50)
+
+
+@query()
+def occurrences_by_stem(spark, d):
+    return occ.by_stem(ad.document_terms(spark, d).where("lang = 'en'"))
+
+
+@query(f"WITH {TOK}, {MAP} SELECT i.term AS x, d.source AS y, count(*) AS n FROM items i JOIN documents d USING (doc_id) GROUP BY ALL")
+def term_source_cooc(spark, d):
+    own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d)), "term", "left_semi").select("doc_id", F.col("term").alias("x"))
+    return occ.bipartite(own, ad.read(spark, d, "documents").select("doc_id", F.col("source").alias("y")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id FROM labels")
+def insert_or_ignore(spark, d):
+    return relations.insert_or_ignore(ad.read(spark, d, "labels").select("doc_id"), ad.read(spark, d, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("SELECT d.source, l.toxic AS favourite, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
+def paired_tables(spark, d):
+    docs, lab = ad.read(spark, d, "documents").select("doc_id", "source"), ad.read(spark, d, "labels").select("doc_id", F.col("toxic").alias("favourite"))
+    return docs.join(lab, "doc_id").groupBy("source", "favourite").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) <= 1")
+def used_once(spark, d):
+    return relations.used_once(ad.read(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id")
+def user_bounds(spark, d):
+    return ad.read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+
+
+@query()
+def user_sessions(spark, d):
+    return series.sessions(ad.read(spark, d, "events"), "user_id", "ts")
+
+
+@query()
+def list_build_quotas(spark, d):
+    """A term list with quotas: TF-ICF of the English documents, inclusion and specificity of the 400 lowest."""
+    o = ad.document_terms(spark, d)
+    total = ad.read(spark, d, "documents").where("lang = 'en'").count()
+    scored = similarity.tficf_table(occ.document_frequency(o.where("lang = 'en'")), occ.document_frequency(o), total).orderBy("score", "term").limit(400)
+    own = o.join(F.broadcast(scored.select("term")), "term", "left_semi")
+    m = similarity.inclusion_specificity(occ.cooccurrence(own.select("doc_id", "term")))
+    rows = scored.join(m, "term").select("term", tx.term_size("term").alias("size"), F.round("score", 9).alias("tficf"), F.round("inclusion", 9).alias("inclusion"), F.round("specificity", 9).alias("specificity"))
+    return terms.build_term_list(rows, map_size=100, candidates=100, whole=400)
