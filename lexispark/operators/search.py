@@ -16,7 +16,7 @@ RESULT_LIMITS = (2000, 4000)
 
 
 def stems_of(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Distinct stems of each document as an array. Distinct (word, language) pairs are stemmed once each."""
+    """Distinct stems of each document as an array. Words are deduplicated before they reach Python, and each worker remembers stems."""
     from ..functions.stem import stem_array_udf
 
     words = docs.select(key, F.col(lang), F.array_distinct(tokens(text)).alias("words"))
