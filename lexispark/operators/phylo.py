@@ -198,12 +198,14 @@ def ladder(start: float, step: float) -> list[float]:
 def sea_level_rise(group: DataFrame, term_counts: DataFrame, documents: int, *, level: float = 0.5, thresholds: list[float] | None = None, frame: int = 5, step: int = 1, min_branch: int = 3) -> tuple[DataFrame, float]:
     """Raises the threshold of links while quality doesn't fall and some branch stays long enough: (groups with branches, the threshold kept)."""
     thresholds = thresholds or ladder(0.1, 0.2)
+    graph.checkpoint_dir(group.sparkSession)
+    group = group.checkpoint()  # read by every step of the ladder, as are the links
     roots = group.select(F.explode("terms")).distinct().count()
-    links = temporal_links(group, term_counts, documents, frame=frame, step=step, threshold=thresholds[0])
+    links = temporal_links(group, term_counts, documents, frame=frame, step=step, threshold=thresholds[0]).checkpoint()
     best, kept = branches(group, links), thresholds[0]
     score = quality(best, level, roots)
     for t in thresholds[1:]:
-        new = branches(group, links.where(F.col("similarity") >= t))
+        new = branches(group, links.where(F.col("similarity") >= t)).checkpoint()
         q = quality(new, level, roots)
         if q < score or new.groupBy("branch").agg(F.countDistinct("first").alias("n")).where(F.col("n") >= min_branch).isEmpty():
             break

@@ -544,7 +544,7 @@ def phylo_groups(spark, d):
 @query()
 def phylo_branches(spark, d):
     """Groups in branches after raising the threshold of links."""
-    g = _phylo_groups(spark, d).persist()
+    g = _phylo_groups(spark, d)
     df = occ.document_frequency(ad.document_terms(spark, d))
     best, kept = phylo.sea_level_rise(g, df, ad.read(spark, d, "documents").count(), step=6, frame=2)
     return phylo.branch_dates(best).withColumn("threshold", F.lit(kept))
