@@ -110,6 +110,16 @@ def count_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+#: Ids that may be broadcast (16 bytes each at most); more are joined by a shuffle.
+SMALL_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """docs without the rows of these ids; rows with a null id stay. The ids are counted: few enough are broadcast, so texts aren't shuffled."""
+    gone = Staged(ids.select(key).where(F.col(key).isNotNull()).distinct(), label).df
+    return docs.join(F.broadcast(gone) if count_of(gone) <= SMALL_IDS else gone, key, "left_anti").select(*docs.columns)
+
+
 #: Parts of one key that a task adds up, about.
 SUMMED = 64
 

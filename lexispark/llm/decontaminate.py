@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Staged, arrow_rows, total_of
+from .common import Staged, arrow_rows, total_of, without_ids
 
 #: ASCII letters in lower case, ASCII punctuation and controls as spaces; other bytes as they are.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -269,5 +269,4 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """docs without the rows that hold an item. Rows without an id stay."""
-    leaks = Staged(find_leaks(docs, benchmark, **params).select("doc_id").distinct(), "leaks").df
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, find_leaks(docs, benchmark, **params), "leaks")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, arrow_rows, count_of, total_of
+from .common import Staged, arrow_rows, count_of, total_of, without_ids
 
 #: Counters of the sketch, as a power of two; its size doesn't depend on the data.
 SKETCH_BITS = 19
@@ -346,7 +346,7 @@ def enough(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those rows that a document of smaller id in their component stands for. Rows with a null id stay."""
-    found = Staged(near_duplicates(docs, n=n, percent=percent).where("doc_id = component_id").select("doc_id").distinct(), "kept").df
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """docs without those rows that a document of smaller id in their component stands for. Rows with a null id stay, and those of a repeated id if one of them stands for itself."""
+    found = near_duplicates(docs, n=n, percent=percent)
+    copies = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first")
+    return without_ids(docs, copies, "copies")
