@@ -223,6 +223,14 @@ def test_connector_pages(spark):
     assert connectors.istex_query("cats") == 'language:"en" AND abstract:(cats)'
 
 
+def test_registered_source(spark):
+    from lexispark.sources import datasource
+
+    datasource.register(spark)
+    df = spark.read.format("lexispark_pages").options(fetch="lexispark.sources.datasource:sample_fetch", query="cats", service="pubmed", total="1000", limit="430").load()
+    assert df.count() == 430 and df.where("title = 'cats 7'").first().publication_year == 2007
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     path = f"{sf}/events.parquet"
     events = spark.read.parquet(path)
