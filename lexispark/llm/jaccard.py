@@ -32,7 +32,7 @@ from .common import Staged, arrow_rows, count_of, total_of, without_ids
 #: Counters of the sketch, as a power of two; its size doesn't depend on the data.
 SKETCH_BITS = 19
 #: Postings that one block of columns holds, about, and how many a task gathers before it hands them on.
-BLOCK_POSTINGS, GATHERED = 400_000, 1_000_000
+BLOCK_POSTINGS, GATHERED = 400_000, 400_000
 #: Pairs that may be broadcast (two numbers each); more are joined by shuffles.
 SMALL = 500_000
 #: Rows of a column beyond which it is dealt out by rows as well.
@@ -191,7 +191,7 @@ def shared_columns(blocks: DataFrame, count: int) -> DataFrame:
         return step
 
     tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, count)
-    return arrow_rows(blocks.repartition(tasks, "block"), make, "h long, d long, f boolean", batch_rows=256)
+    return arrow_rows(blocks.repartition(tasks, "block"), make, "h long, d long, f boolean", batch_rows=32)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Staged:
 
         return step
 
-    out = Staged(arrow_rows(both, decide, "a long, b long, linked boolean, distance double", batch_rows=200), "compared")
+    out = Staged(arrow_rows(both, decide, "a long, b long, linked boolean, distance double", batch_rows=100), "compared")
     known.drop()
     pairs.drop()
     return out
@@ -271,8 +271,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for k, x in parts.items():
         sketch[k * width : (k + 1) * width] = x
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    named = Staged(rows.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes").df
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # classes of copies alone, from a table, so that Spark can split the join's hot classes
+    classes = keep(Staged(classes.where("copies > 1").drop("copies"), "copies")).df
+    named = Staged(rows.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes").df
     whole = rows.agg(F.sum("n")).first()[0] or 0
     count = max(8, int(whole * (100 - percent) / 100 / BLOCK_POSTINGS) + 1)
     member = named.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), "n", F.col("rep").alias("r")).distinct()
