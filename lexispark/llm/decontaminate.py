@@ -8,6 +8,8 @@ reach the driver. Overlapping windows of two lengths at a stride of twelve words
 items by cosine in the latent space. What passes is checked by the longest common subsequence
 of the item's words with the words around the window, and by the item's answer (its last
 quarter) on its own, so that paraphrases with some words changed are found and chance likeness isn't.
+Items most of whose words are too frequent for the latent space are compared, by the same two checks, with every
+stretch of the documents that holds enough of their words, whatever its cosine; their cosine is null where only this finds them.
 
 Nulls: a null text counts as empty; items without text or of fewer than `min_words` words match nothing.
 Empty tables give no rows. A repeated item matches once for each. Extra columns are ignored.
@@ -100,6 +102,7 @@ def find_leaks(
     least_answer: float = 0.5,
     max_share: float = 0.01,
     least_shared: float = 0.35,
+    least_weighted: float = 0.5,
     min_words: int = 5,
     max_terms: int = 200_000,
     seed: int = 11,
@@ -146,10 +149,12 @@ def find_leaks(
 
     df = total_of(arrow_rows(staged.select("ids"), passages, "key long, data binary"), "<i8").get(0, np.zeros(n + 1, dtype=np.int64))
     total = int(df[n]) + 1
-    # words of very many passages carry no sense here; they count in the subsequence check alone. Three quarters of the terms stay in any case
+    # words of very many passages carry no sense here; they count in the subsequence checks alone. Three quarters of the terms stay in any case
     most = max(20, max_share * total, float(np.quantile(df[:n], 0.75)))
     idf = np.where(df[:n] <= most, np.log((1 + total) / (1 + df[:n])) ** 2, 0.0)
     item_ids = [np.array([vocabulary[w] for w in ws], dtype=np.int32) for _, ws in items]
+    # copies around an item make its own words frequent: items with too few words of weight are searched word by word
+    plain = [i for i, x in enumerate(item_ids) if (idf[x] > 0).mean() < least_weighted]
     counts = np.zeros((len(items), n), dtype=np.float32)
     for i, x in enumerate(item_ids):
         np.add.at(counts[i], x, 1)
@@ -194,13 +199,11 @@ def find_leaks(
     basis = q @ rotation[:, top] / np.sqrt(values[top])
     latent = a_items @ basis
     norms = np.linalg.norm(latent, axis=1)
-    if not top:
-        return spark.createDataFrame([], schema)
     item_latent = (latent / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
-    held = spark.sparkContext.broadcast(((idf[:, None] * basis).astype(np.float32), item_latent, [x.tolist() for x in item_ids], [i for i, _ in items], idf))
+    held = spark.sparkContext.broadcast(((idf[:, None] * basis).astype(np.float32), item_latent, [x.tolist() for x in item_ids], [i for i, _ in items], idf, plain))
 
     def search():
-        w, item_latent, item_words, names, weight = held.value
+        w, item_latent, item_words, names, weight, plain = held.value
         useful = weight > 0
         # what an item's terms weigh: a window must hold a good part of what it has room for
         own_weight = np.zeros((len(item_words), n + 1), dtype=np.float32)
@@ -211,6 +214,47 @@ def find_leaks(
         masks = [(masks_of(x), len(x)) for x in item_words]
         tails = [x[-max(3, len(x) // 4) :] for x in item_words]
         answers = [(masks_of(x), len(x)) for x in tails]
+        own_words = [np.unique(item_words[i], return_counts=True) for i in plain]
+        place = np.full((len(plain), n + 1), -1, dtype=np.int32)  # of a term among the item's; the last column is that of no term
+        for k, (terms, _) in enumerate(own_words):
+            place[k, terms] = np.arange(len(terms))
+
+        def likeness(item, region):
+            """Ratios of the item and of its answer in a list of words, or None where either is too small."""
+            ratio = lcs(*masks[item], region) / len(item_words[item])
+            if ratio < least_lcs:
+                return None
+            answer = lcs(*answers[item], region) / answers[item][1]
+            return (ratio, answer) if answer >= least_answer else None
+
+        def by_words(ids, firsts, lengths):
+            """(document, item): the best ratios of the items in `plain`. Regions are so long, and so near, that any stretch of an item's length and 48 words more lies in one."""
+            out: dict[tuple[int, int], tuple[float, float]] = {}
+            for k, item in enumerate(plain):
+                reach = len(item_words[item])
+                places = place[k][ids]
+                have = np.r_[0, np.cumsum(places >= 0)]
+                regions = np.maximum(1, -(-np.maximum(0, lengths - 4 * STRIDE - reach) // reach))
+                docs = np.repeat(np.arange(len(firsts)), regions)
+                a = firsts[docs] + (np.arange(len(docs)) - np.repeat(np.cumsum(regions) - regions, regions)) * reach
+                b = np.minimum(a + 2 * reach + 4 * STRIDE, firsts[docs] + lengths[docs])
+                # no subsequence is longer than the number of the item's words in the region, each as often as the item has it
+                often, least = own_words[k][1], least_lcs * reach - 1e-9
+                enough = np.flatnonzero(have[b] - have[a] >= least)
+                kept = [enough[:0]]
+                for at in range(0, len(enough), 4096):
+                    own = enough[at : at + 4096]
+                    inside = a[own, None] + np.arange(2 * reach + 4 * STRIDE)
+                    held_places = np.where(inside < b[own, None], places[np.minimum(inside, len(ids) - 1)], -1)
+                    row, column = np.nonzero(held_places >= 0)
+                    each = np.bincount(row * len(often) + held_places[row, column], minlength=len(own) * len(often)).reshape(len(own), -1)
+                    kept.append(own[np.minimum(each, often).sum(axis=1) >= least])
+                enough = np.concatenate(kept)
+                for doc, x, y in zip(docs[enough].tolist(), a[enough].tolist(), b[enough].tolist()):
+                    both = likeness(item, ids[x:y].tolist())
+                    if both and both > out.get((doc, item), (0.0, 0.0)):
+                        out[doc, item] = both
+            return out
 
         def step(batch):
             ids, firsts, lengths = padded(batch.column(1))
@@ -239,7 +283,8 @@ def find_leaks(
                         doc = int(np.searchsorted(firsts, place * STRIDE, side="right")) - 1
                         found.setdefault((doc, item), []).append((x, place * STRIDE, (place + span) * STRIDE))
             out: list[list] = [[], [], [], [], []]
-            doc_ids = batch.column(0).to_pylist() if found else []
+            plainly = by_words(ids, firsts, lengths)
+            doc_ids = batch.column(0).to_pylist() if found or plainly else []
             for (doc, item), spans in found.items():
                 best = (0.0, 0.0, 0.0)
                 reach = len(item_words[item])
@@ -252,14 +297,16 @@ def find_leaks(
                         continue
                     last = (a, b)
                     region = ids[a:b].tolist()
-                    ratio = lcs(*masks[item], region) / reach
-                    if ratio >= least_lcs and ratio > best[0]:
-                        answer = lcs(*answers[item], region) / answers[item][1]
-                        if answer >= least_answer:
-                            best = (ratio, answer, x)
+                    both = likeness(item, region)
+                    if both and both[0] > best[0]:
+                        best = (*both, x)
                 if best[0]:
+                    plainly.pop((doc, item), None)
                     for column, x in zip(out, (doc_ids[doc], names[item], best[2], best[0], best[1])):
                         column.append(x)
+            for (doc, item), (ratio, answer) in plainly.items():
+                for column, x in zip(out, (doc_ids[doc], names[item], None, ratio, answer)):
+                    column.append(x)
             return dict(zip(("doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio"), out))
 
         return step

@@ -353,6 +353,30 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_leaks_of_an_item_in_a_third_of_the_rows(spark, copied):
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(1500)]
+    items = [(i, " ".join(r.sample(words, 34))) for i in range(40)]
+    carrier = r.choices(words, k=200)
+    rows, want = [], set()
+    for d in range(600):
+        w = carrier[:] if copied and d % 3 == 0 else r.choices(words, k=200)
+        if d % 3 == 0:
+            w[90:90] = items[0][1].split()
+            want.add((d, 0))
+        elif d % 40 == 1:  # a rewording, in a document of its own
+            own = items[0][1].split()
+            for k in range(3, 24, 7):
+                own[k] = r.choice(words)
+            w[20:20] = own
+            want.add((d, 0))
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_lcs():
     r = random.Random(1)
     for _ in range(200):
