@@ -2,8 +2,9 @@
 
 Both models are first-order chains over character classes of the token alphabet,
 trained from labelled samples (label 1: random key material, label 0: ordinary
-identifiers and words). A token is reported when the log-likelihood ratio of the two
-models exceeds a threshold, so short or word-like tokens stay.
+identifiers and words). A token is reported whole when the log-likelihood ratio of the two
+models exceeds a threshold, so short or word-like tokens stay. Of other tokens, the stretches between
+`/ _ - =` and those of the largest sums of the ratio are judged, so a key glued to a path or a name is found.
 
 Nulls: a null text counts as empty. Empty texts have no spans. Repeated rows give repeated results.
 Other columns of the input are ignored.
@@ -27,8 +28,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 #: Key words of ASSIGN in lower case, for a quick look before the pattern runs.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Shortest and longest token that the models judge piecewise; longer tokens are judged whole.
+#: Shortest token, and shortest stretch of one, that the models judge.
 MIN_TOKEN = 16
+PIECE = re.compile(r"[A-Za-z0-9+]{%d,}" % MIN_TOKEN)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
 #: Log-likelihood ratio (nats) above which a token counts as random key material.
 THRESHOLD = 8.0
@@ -90,6 +92,22 @@ def train(samples: list[tuple[str, int]]) -> np.ndarray:
     return logs[1] - logs[0]
 
 
+def largest_sums(values: list[float], least: float) -> list[tuple[int, int]]:
+    """Disjoint stretches whose sum exceeds `least`, each ending at its largest sum; a new one starts where the sum falls below 0 or by `least` from its top."""
+    out, start, total, top, end = [], 0, 0.0, 0.0, 0
+    for k, x in enumerate(values):
+        total += x
+        if total > top:
+            top, end = total, k + 1
+        if total <= 0 or total < top - least:
+            if top > least:
+                out.append((start, end))
+            start, total, top = k + 1, 0.0, 0.0
+    if top > least:
+        out.append((start, end))
+    return out
+
+
 class Scanner:
     """Finds the spans of one text; positions are code points, ends exclusive."""
 
@@ -98,16 +116,35 @@ class Scanner:
         for k, c in enumerate(ALPHABET):
             self.codes[ord(c)] = k
         self.ratio, self.threshold = ratio, threshold
-        self.memo: dict[str, bool] = {}
+        self.memo: dict[str, tuple[tuple[int, int], ...]] = {}
+
+    def ratios(self, token: str) -> np.ndarray:
+        """What each character adds to the log-likelihood ratio of the token."""
+        k = self.codes[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
+        return self.ratio[np.concatenate([[len(ALPHABET)], k[:-1]]), k]
 
     def is_random(self, token: str) -> bool:
         if token.isdigit():  # a number, not key material
             return False
+        return float(self.ratios(token).sum()) > self.threshold
+
+    def stretches(self, token: str) -> tuple[tuple[int, int], ...]:
+        """(start, end) of the parts of a token that the models call random, sorted and disjoint."""
         known = self.memo.get(token)
         if known is None:
-            k = self.codes[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
-            score = float(self.ratio[np.concatenate([[len(ALPHABET)], k[:-1]]), k].sum())
-            known = score > self.threshold
+            if token.isdigit():
+                known = ()
+            elif self.is_random(token):
+                known = ((0, len(token)),)
+            else:
+                parts = [m.span() for m in PIECE.finditer(token)] + largest_sums(self.ratios(token).tolist(), self.threshold)
+                merged: list[tuple[int, int]] = []
+                for a, b in sorted((a, b) for a, b in parts if b - a >= MIN_TOKEN and self.is_random(token[a:b])):
+                    if merged and a < merged[-1][1]:
+                        merged[-1] = merged[-1][0], max(b, merged[-1][1])
+                    else:
+                        merged.append((a, b))
+                known = tuple(merged)
             if len(self.memo) > 200_000:
                 self.memo.clear()
             if len(token) < 200:
@@ -127,8 +164,8 @@ class Scanner:
         return spans
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Tokens that the models call random and that no base span overlaps."""
-        out = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if self.is_random(m[0])]
+        """Tokens, and stretches of tokens, that the models call random and that no base span overlaps."""
+        out = [(m.start() + a, 3, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in self.stretches(m[0])]
         return clear_of(out, base)
 
 

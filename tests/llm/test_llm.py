@@ -422,6 +422,24 @@ def test_secrets(spark, sf):
     assert secrets.secret_spans(none(spark)).count() == 0 and secrets.secret_spans(odd(spark)).count() == len(ODD)
 
 
+def test_keys_glued_to_paths_and_names():
+    r = random.Random(6)
+    scanner = secrets.Scanner(secrets.train(secrets.labelled_samples()))
+    for before, after in (("/v1/projects/production/configuration/", ""), ("customer_storage_connection_session_production_key=", ""), ("export-", "-production_configuration/settings"), ("/release/", "/document/section/index")):
+        found = 0
+        for _ in range(200):
+            key = "".join(r.choices(secrets.ALPHABET[:62], k=32))
+            text = f"see {before}{key}{after} for more"
+            at = 4 + len(before)
+            spans = scanner.added(text, [])
+            # a few characters at the key's ends may be as likely in a name; a token random as a whole is reported whole
+            found += any(a <= at + 4 and b >= at + 28 for a, _, b in spans)
+        assert found >= 190
+    r = random.Random(7)
+    plain = ["/".join(r.choices(secrets.WORDS, k=7)) for _ in range(500)] + ["_".join(r.choices(secrets.WORDS, k=5)) + "=" for _ in range(500)]
+    assert sum(bool(scanner.added(x, [])) for x in plain) <= 10
+
+
 PERSONAL = "a.b@c-d.co.uk x@y @z.com u@v.w@q.de 1.2.3.4.5 300.1.1.1 001.02.3.255 4041 8949-7460 8795 4041894974608795 +1 (988) 555-2485 +12 34 +1.2 9@8.7 My name is Robert Hauser and so on"
 
 
