@@ -3,8 +3,12 @@
 A page is read once into text blocks with their place in the element tree. A logistic
 classifier, trained from a small labelled table of blocks, gives each block a cost for either label;
 these costs are the capacities of its edges to the terminals. Neighbouring blocks, and blocks
-of one parent, are tied by edges whose capacities fall with their distance in the tree. The minimum cut
-(Dinic's maximum flow) separates content from boilerplate at the least cost in all.
+of one parent, are tied by edges whose capacities fall with their distance in the tree (the steps between their
+elements) or on the page. The minimum cut (Dinic's maximum flow) separates content from boilerplate at the least cost in all.
+
+Attributes are read by name and value. A class, id or role speaks for a label only if all parts of one of its
+words are known (`cookie-notice`, not `side-effects`). A form that holds an article, a heading of the first two
+ranks or much prose is the page's own; others are controls.
 
 Nulls: a null or empty page has an empty text; a null url stays null. Broken markup is read as far as it
 goes; nothing is cut off. Repeated rows give repeated results. Extra columns are ignored.
@@ -26,7 +30,8 @@ from .toxicity import logistic
 
 #: Markup: comments and declarations, or tags with their attributes. Quoted values may hold '>'.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+#: Name and value of an attribute; values are passed over as a whole, so nothing inside one counts as a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes", "math", "object", "select", "canvas"}
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -40,19 +45,26 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 CLOSED_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "button"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-#: Words in class, id and role that speak for one label or the other.
+#: Words in class, id and role that speak for one label or the other, and words that say no more than where or which.
 BOILER = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies notice notices consent gdpr alert menu nav navbar navigation "
-    "sidebar side aside footer foot header masthead topbar breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription widget popup modal "
-    "overlay login signup search toolbar pagination pager tags copyright disclaimer outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsors sponsored promo promos promotion cookie cookies notice notices consent gdpr alert menu menus nav navbar "
+    "navigation sidebar sidenav aside footer foot header masthead topbar topnav breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription widget "
+    "widgets popup modal overlay login signup signin search toolbar pagination pager tags copyright disclaimer outbrain taboola contentinfo complementary adsbygoogle".split()
+)
+COMMENT = set("comment comments commentlist commentarea disqus reply replies respond discussion discussions thread threads".split())
+CONTENT = set("article articles content post posts entry entries story stories main maincontent articlebody text body prose blogpost bodytext".split())
+NEUTRAL = set(
+    "site page global top bottom left right center middle primary secondary box boxes container wrap wrapper inner outer block list listing item items section area bar panel slot unit holder row col column "
+    "columns grid group module region zone links link buttons button icons icon media image logo title heading head meta info author date category label form field input text wide narrow large small full first "
+    "last even odd new old more all user reader readers blog news web js wp id the of and for google fixed sticky mobile desktop print".split()
 )
-COMMENT = set("comment comments commentlist disqus reply replies respond discussion thread".split())
-CONTENT = set("article content post entry story main maincontent articlebody text body prose blogpost".split())
 #: Words with which a header belongs to an article; prefixes after which a word says what is beside the element, not in it.
-TITLED = {"article", "post", "entry", "story"}
-NOT_OWN = re.compile(r"\b(?:has|with|no|without|is)[-_]\w+")
-FORM = {"form", "button", "fieldset", "label", "option", "dialog"}
+TITLED = {"article", "post", "entry", "story", "articles", "posts", "entries", "stories"}
+BESIDE = {"has", "with", "no", "without", "is", "not", "hide", "show", "after", "before"}
+CONTROL = {"button", "fieldset", "label", "option", "dialog"}
 SIDE = {"nav", "footer", "aside", "menu", "search"}
+#: Words of prose, outside controls, from which a form counts as the page's own.
+PAGE_FORM_WORDS = 60
 
 #: Weight of ties between blocks: of neighbours in page order, and of blocks with one parent.
 NEXT_TIE, PARENT_TIE = 0.35, 0.35
@@ -65,14 +77,18 @@ class Element:
     parent: int
     depth: int
     marks: frozenset  # of the element and those around it
+    jump: int  # an ancestor further up, so that any is reached in few steps
+    form: int = -1  # the form around it
+    inline: dict | None = None  # in a block element: how often each inline tag is open directly in it
 
 
 @dataclass
 class Block:
     tag: str
     parent: int
-    depth: int
+    at: int  # its element
     marks: frozenset
+    form: int = -1
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -81,7 +97,27 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-WORDS = re.compile(r"[a-z0-9]+")
+@dataclass
+class Page:
+    blocks: list[Block]
+    elements: list[Element]
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two elements along the tree, through their nearest common ancestor."""
+        e = self.elements
+        steps = e[a].depth + e[b].depth
+        if e[a].depth < e[b].depth:
+            a, b = b, a
+        while e[a].depth > e[b].depth:
+            a = e[a].jump if e[e[a].jump].depth >= e[b].depth else e[a].parent
+        while a != b:
+            a, b = (e[a].jump, e[b].jump) if e[a].jump != e[b].jump else (e[a].parent, e[b].parent)
+        return steps - 2 * e[a].depth
+
+
+#: Parts of a class word: runs of letters of one case after a capital, and digits.
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+KNOWN = BOILER | COMMENT | CONTENT | NEUTRAL
 
 
 @lru_cache(maxsize=4096)
@@ -90,7 +126,7 @@ def marks_of(tag: str, attributes: str) -> frozenset:
     out = set()
     if tag in SIDE:
         out.add("side")
-    elif tag in FORM:
+    elif tag in CONTROL:
         out.add("form")
     elif tag == "header":
         out.add("header")
@@ -100,37 +136,42 @@ def marks_of(tag: str, attributes: str) -> frozenset:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             low = value.lower()
-            if name in ("hidden",) or (name == "aria-hidden" and low == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low)):
+            if name == "hidden" or (name == "aria-hidden" and low.strip() == "true") or (name == "style" and re.search(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", low)):
                 out.add("hidden")
             elif name in ("class", "id", "role"):
-                spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower()
-                words = set(WORDS.findall(NOT_OWN.sub(" ", spaced)))
-                if words & TITLED:  # the heading of the article, not of the site
-                    words.discard("header")
-                if words & BOILER or low in ("navigation", "contentinfo", "complementary"):
-                    out.add("boiler")
-                if words & COMMENT:
-                    out.add("comment")
-                if words & CONTENT:
-                    out.add("content")
+                for word in value.split():
+                    own = [p.lower() for p in PARTS.findall(word)]
+                    own = [p for p in own if not p.isdigit()]
+                    if not own or own[0] in BESIDE or not KNOWN.issuperset(own):
+                        continue
+                    parts = set(own)
+                    if parts & TITLED:  # the heading of the article, not of the site
+                        parts -= {"header", "head"}
+                    if parts & BOILER:
+                        out.add("boiler")
+                    if parts & COMMENT:
+                        out.add("comment")
+                    if parts & CONTENT and not parts & BOILER:
+                        out.add("content")
     return frozenset(out)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
-    root = Element("html", -1, 0, frozenset())
-    elements, stack, out = [root], [0], []
+def blocks_of(page: str) -> Page:
+    """The text blocks of a page in order, and its elements."""
+    root = Element("html", -1, 0, frozenset(), 0, inline={})
+    elements, stack, holders, out = [root], [0], [0], []  # holders: the open block elements, as places in the stack
     block: Block | None = None
     links, at, n = 0, 0, len(page)
+    open_blocks: dict[str, int] = {}
 
     def add(piece: str) -> None:
         nonlocal block
         if block is None:
             if piece.isspace():
                 return
-            e = elements[stack[-1]]
             k = stack[-1]
-            block = Block(e.tag, e.parent if e.tag in ("p", "li", "b") or e.tag in HEADINGS else k, e.depth, e.marks)
+            e = elements[k]
+            block = Block(e.tag, e.parent if e.tag in ("p", "li", "b") or e.tag in HEADINGS else k, k, e.marks, e.form)
         piece = html.unescape(piece) if "&" in piece else piece
         block.parts.append(piece)
         if links:
@@ -142,6 +183,16 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = None
 
+    def close(place: int) -> None:
+        """Closes the element at this place of the stack and all within it."""
+        while len(stack) > place:
+            e = elements[stack.pop()]
+            if e.inline is not None:
+                holders.pop()
+                open_blocks[e.tag] -= 1
+            else:
+                elements[stack[holders[-1]]].inline[e.tag] -= 1
+
     while at < n:
         m = MARKUP.search(page, at)
         if m is None:
@@ -159,13 +210,10 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = elements[stack[k]].tag
-                if open_ == tag:
-                    del stack[k:]
-                    break
-                if open_ in BLOCK and tag not in BLOCK:
-                    break
+                if open_blocks.get(tag):
+                    close(next(h for h in reversed(holders) if elements[stack[h]].tag == tag))
+            elif elements[stack[holders[-1]]].inline.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag))
             continue
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
@@ -179,23 +227,41 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
             closed = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSED_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = elements[stack[k]].tag
-                if open_ in closed:
-                    del stack[k:]
-                    break
-                if open_ in BLOCK:
-                    break
+            while holders[-1] and elements[stack[holders[-1]]].tag in closed:
+                close(holders[-1])
         if tag == "a":
             links += 1
         if tag not in VOID and not m[3].endswith("/>"):
-            parent = elements[stack[-1]]
+            k = stack[-1]
+            parent = elements[k]
             own = marks_of(tag, m[3].rstrip(">").strip())
-            if len(stack) < 500:  # deeper elements count as part of the one around them
-                elements.append(Element(tag, stack[-1], parent.depth + 1, parent.marks | own if own - parent.marks else parent.marks))
-                stack.append(len(elements) - 1)
+            far = elements[parent.jump]
+            jump = far.jump if parent.depth - far.depth == far.depth - elements[far.jump].depth else k
+            e = Element(tag, k, parent.depth + 1, parent.marks | own if own - parent.marks else parent.marks, jump, len(elements) if tag == "form" else parent.form)
+            elements.append(e)
+            stack.append(len(elements) - 1)
+            if tag in BLOCK:
+                e.inline = {}
+                holders.append(len(stack) - 1)
+                open_blocks[tag] = open_blocks.get(tag, 0) + 1
+            else:
+                inline = elements[stack[holders[-1]]].inline
+                inline[tag] = inline.get(tag, 0) + 1
     flush()
-    return out
+    mark_forms(out)
+    return Page(out, elements)
+
+
+def mark_forms(blocks: list[Block]) -> None:
+    """Marks the blocks of forms, but for those of a form that is the page's own."""
+    words: dict[int, int] = {}
+    for b in blocks:
+        if b.form >= 0 and not b.marks & {"form", "side", "boiler", "comment", "hidden"}:
+            of_article = "content" in b.marks or b.tag in ("h1", "h2")
+            words[b.form] = words.get(b.form, 0) + (PAGE_FORM_WORDS if of_article else b.text.count(" ") + 1 if b.tag != "li" else 0)
+    for b in blocks:
+        if b.form >= 0 and words.get(b.form, 0) < PAGE_FORM_WORDS:
+            b.marks |= {"form"}
 
 
 def features(tag: str, marks: frozenset, text: str, linked: int) -> list[float]:
@@ -243,10 +309,6 @@ def classifier() -> np.ndarray:
     return logistic(np.array(x, dtype=np.float64), y, np.ones(len(y)), ridge=0.05)
 
 
-def tree_distance(a: Block, b: Block) -> int:
-    return abs(a.depth - b.depth) + (0 if a.parent == b.parent else 2)
-
-
 def minimum_cut(gain: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
     """Which nodes are on the source side. gain: the capacity from the source less that to the sink; ties: (node, node, capacity both ways).
 
@@ -313,8 +375,9 @@ def minimum_cut(gain: list[int], ties: list[tuple[int, int, int]]) -> list[bool]
                 break
 
 
-def label_blocks(blocks: list[Block], beta: np.ndarray) -> list[bool]:
+def label_blocks(page: Page, beta: np.ndarray) -> list[bool]:
     """Whether each block is content."""
+    blocks = page.blocks
     if not blocks:
         return []
     x = np.array([features(b.tag, b.marks, b.text, b.linked) for b in blocks], dtype=np.float64)
@@ -323,7 +386,7 @@ def label_blocks(blocks: list[Block], beta: np.ndarray) -> list[bool]:
     ties, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            ties.append((i - 1, i, int(SCALE * NEXT_TIE / (1 + tree_distance(blocks[i - 1], b)))))
+            ties.append((i - 1, i, int(SCALE * NEXT_TIE / max(1, page.distance(blocks[i - 1].at, b.at) - 1))))
         if b.parent in last and last[b.parent] < i - 1:
             ties.append((last[b.parent], i, int(SCALE * PARENT_TIE / (i - last[b.parent]))))
         last[b.parent] = i
@@ -331,9 +394,9 @@ def label_blocks(blocks: list[Block], beta: np.ndarray) -> list[bool]:
 
 
 def main_text(page: str | None, beta: np.ndarray | None = None) -> str:
-    blocks = blocks_of(page or "")
-    keep = label_blocks(blocks, classifier() if beta is None else beta)
-    return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
+    read = blocks_of(page or "")
+    keep = label_blocks(read, classifier() if beta is None else beta)
+    return "\n\n".join(b.text for b, k in zip(read.blocks, keep) if k)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
