@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,8 +19,9 @@ from pyspark.sql.types import StructType
 
 #: Spark's setting to delete shuffle files at the end of an execution.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of a whole-text table that one Arrow batch carries, so that a batch of very long texts stays in memory.
-TEXT_BATCH_ROWS = 1000
+#: Rows and bytes that an operator is given at once. Spark closes an Arrow batch at maxRecordsPerBatch rows or
+#: maxBytesPerBatch bytes (64 MB); tasks cut these batches further, so no operator depends on the session's settings.
+TEXT_BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,36 +30,70 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is named (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine alone may do without; it gets a folder that goes at exit."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     held = spark.conf.get("lexispark.shared.dir", None)
     if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        folder = tempfile.mkdtemp(prefix="lexispark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        held = "file://" + folder
         spark.conf.set("lexispark.shared.dir", held)
     return held
 
 
+#: Open scopes, innermost last; each lists the tables staged within it.
+_scopes: list[list[Staged]] = []
+
+
+@contextlib.contextmanager
+def staging() -> Iterator[None]:
+    """Tables staged within are dropped at the end: what reads them must be written by then."""
+    own: list[Staged] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for table in own:
+            table.drop()
+
+
 class Staged:
-    """A DataFrame written as Parquet into the shared folder; later stages read it and lineage ends there."""
+    """A DataFrame written as Parquet into the shared folder; later stages read it and lineage ends there.
+
+    It goes when `drop` is called, or with the scope it is made in (`staging`). One that a returned frame still reads is left to the
+    end of the session, whose file system deletes it.
+    """
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
         held = self.spark.conf.get(SHUFFLE_CLEANUP, None)
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table takes the place of the shuffle files that made it
         try:
             df.write.parquet(self.path)
         finally:
             self.spark.conf.unset(SHUFFLE_CLEANUP) if held is None else self.spark.conf.set(SHUFFLE_CLEANUP, held)
+        system, path = self._file()
+        system.deleteOnExit(path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _file(self):
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
     def drop(self) -> None:
         """Removes the files, once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._file()
+        system.delete(path, True)
+        system.cancelDeleteOnExit(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,18 +110,25 @@ def ship(spark: SparkSession) -> None:
     sc._lexispark_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Whole texts can be long: bound the rows that an Arrow batch carries to Python."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, rows: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, without copying, of so many rows and bytes at most; a longer row is a part of its own."""
+    if batch.num_rows > rows:
+        for k in range(0, batch.num_rows, rows):
+            yield from slices(batch.slice(k, rows), rows, size)
+    elif batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
+    else:
+        yield batch
 
 
 def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str | StructType, batch_rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """mapInArrow over df. make() is called once a task and returns a function from a batch to a dict of columns.
 
-    If that function has an attribute `finish`, it is called after the last batch and returns such a dict too.
+    Batches have batch_rows rows and BATCH_BYTES bytes at most, whatever the session's settings are when the plan runs; a longer row
+    comes alone. If the function has an attribute `finish`, it is called after the last batch and returns such a dict too.
     """
-    small_batches(df.sparkSession, batch_rows)
     ship(df.sparkSession)
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,10 +138,11 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         table = lambda out: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
-        for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield table(out)
+        for whole in batches:
+            for batch in slices(whole, batch_rows):
+                out = step(batch)
+                if out is not None:
+                    yield table(out)
         out = step.finish() if hasattr(step, "finish") else None
         if out is not None:
             yield table(out)
@@ -104,8 +150,6 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, target)
 
 
-
-
 def count_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
@@ -162,6 +206,7 @@ def gapless(df: DataFrame, by: str, order: list[str], rows: int, name: str) -> D
 
     Values are split by a salt from the ordering columns, so that a value that a third of all rows have is
     numbered by many tasks: counts by (value, salt) give each salt's first number, a row number within it the rest.
+    The ordering columns must tell rows apart (repeated rows by a stored number), or equal rows are one task's work.
     """
     salts = max(4, min(100_000, rows // RANKED_ROWS + 4))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))

@@ -27,13 +27,17 @@ from .tokens import Encoder
 END_ID, CAPACITY = 2, 1024
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece of each document. Only documents longer than the capacity are cut; the first piece takes what is over."""
+    """doc_id, piece, start, length, ids_crc32, turn of each piece of each document. Only documents longer than the capacity are cut; the first piece takes what is over.
+
+    turn numbers the pieces of a task, which tells repeated rows apart.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
-        encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end, turn = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
 
         def step(batch):
+            nonlocal turn
             rows: list[list[int]] = [[], [], [], [], []]
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + end
@@ -44,11 +48,13 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, t
                     e = min(n, s + (capacity if p else first))
                     for column, x in zip(rows, (k, p, s, e - s, zlib.crc32(ids[4 * s : 4 * e]))):
                         column.append(x)
-            return {"doc_id": batch.column(0).take(np_to_arrow(rows[0])), "piece": rows[1], "start": rows[2], "length": rows[3], "ids_crc32": rows[4]}
+            turn += len(rows[0])
+            turns = range(turn - len(rows[0]), turn)
+            return {"doc_id": batch.column(0).take(np_to_arrow(rows[0])), "piece": rows[1], "start": rows[2], "length": rows[3], "ids_crc32": rows[4], "turn": turns}
 
         return step
 
-    return arrow_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def np_to_arrow(rows: list[int]):
@@ -110,21 +116,26 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """parts (doc_id, piece, length, ...) with sequence_id and offset: gapless within each sequence, lengths in all at most the capacity."""
+    """parts (doc_id, piece, length, ...) with sequence_id and offset: gapless within each sequence, lengths in all at most the capacity.
+
+    Other columns stay. parts must not have columns named sequence_id or offset, nor any whose name begins with `_`: these are made here.
+    Rows equal in doc_id, piece, ids_crc32 and turn (the last two where there are such columns) are ranked by one task a salt.
+    """
+    clash = [c for c in parts.columns if c in ("sequence_id", "offset") or c.startswith("_")]
+    if clash:
+        raise ValueError(f"columns {clash} are made by pack; rename them first")
     spark = parts.sparkSession
     counts = parts.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
     histogram = {r["length"]: r["n"] for r in counts}
     slots, _ = plan(histogram, capacity)
-    ranked = gapless(parts, "length", ["doc_id", "piece", *(c for c in ("ids_crc32",) if c in parts.columns)], sum(histogram.values()), "rank")
+    ranked = gapless(parts, "length", ["doc_id", "piece", *(c for c in ("ids_crc32", "turn") if c in parts.columns)], sum(histogram.values()), "_rank")
     # the slots of a length, as arrays: a row for each length, capacity rows at most, so the table's size is bounded by the plan
-    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, rank, n, first, offset in slots:
-        by_length.setdefault(length, []).append((rank, n, first, offset))
-    rows = [(length, r[0], r[1], r[2], r[3]) for length, own in by_length.items() for r in own]
-    table = spark.createDataFrame(rows, "length long, first_rank long, ranks long, first_sequence long, offset long").groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "ranks", "first_sequence", "offset"))).alias("slots"))
-    slot = F.element_at(F.filter("slots", lambda s: (s["first_rank"] <= F.col("rank")) & (F.col("rank") < s["first_rank"] + s["ranks"])), 1)
-    placed = ranked.join(F.broadcast(table), "length").withColumn("slot", slot)
-    return placed.withColumn("sequence_id", F.col("slot.first_sequence") + F.col("rank") - F.col("slot.first_rank")).withColumn("offset", F.col("slot.offset")).drop("slots", "slot", "rank")
+    table = spark.createDataFrame(slots, "length long, first_rank long, ranks long, first_sequence long, offset long")
+    table = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "ranks", "first_sequence", "offset"))).alias("_slots"))
+    slot = F.element_at(F.filter("_slots", lambda s: (s["first_rank"] <= F.col("_rank")) & (F.col("_rank") < s["first_rank"] + s["ranks"])), 1)
+    placed = ranked.join(F.broadcast(table), "length").withColumn("_slot", slot)
+    placed = placed.withColumn("sequence_id", F.col("_slot.first_sequence") + F.col("_rank") - F.col("_slot.first_rank")).withColumn("offset", F.col("_slot.offset"))
+    return placed.select(*parts.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:

@@ -124,8 +124,9 @@ def minimax_cuts(groups: DataFrame, shards: int, largest: int) -> tuple[int, lis
 def shard_documents(docs: DataFrame, *, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs. The law is `bytes`."""
     text = F.coalesce("text", F.lit(""))
-    rows = Staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "shard-rows").df
-    groups = Staged(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups").df
+    rows = Staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("turn")), "shard-rows").df  # turn tells repeated rows apart
+    groups_table = Staged(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    groups = groups_table.df
     sums = groups.agg(F.sum("bytes"), F.sum("n")).first()
     whole, count = sums[0] or 0, sums[1] or 0
     giants, left = [], shards
@@ -139,6 +140,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 8) -> DataFrame:
     rest = groups.where(~F.col("key").isin(giants)) if giants else groups
     largest = rest.agg(F.max("bytes")).first()[0] or 0
     _, cuts = minimax_cuts(rest.select("key", "bytes"), left, largest)
+    groups_table.drop()
     own = lambda k: F.lit(shards - 1 - giants.index(k))
     shard = F.lit(0)
     for c in cuts:
@@ -146,5 +148,5 @@ def shard_documents(docs: DataFrame, *, shards: int = 8) -> DataFrame:
     for k in giants:
         shard = F.when(F.col("key") == k, own(k)).otherwise(shard)
     placed = rows.withColumn("shard", shard.cast("int"))
-    out = gapless(placed, "shard", ["doc_id", "key", "size"], int(count), "slot")
+    out = gapless(placed, "shard", ["doc_id", "key", "turn"], int(count), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
