@@ -1,21 +1,22 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Fit. A bounded sample of labelled rows (`examples_per_class`, taken by hash order) gives the
-examples. Terms are whole words and word beginnings of three to six letters; those
-whose document frequency differs between the classes beyond chance (log-likelihood ratio)
-and in favour of label 1 make up the vocabulary, `max_terms` at most. Inverse document
-frequencies count all documents. Score. For each document the k examples of greatest
-cosine vote, weighted by their closeness, against a prior; a logistic curve, fitted on
+examples. Terms are whole words and word beginnings of three to six letters; those whose document frequency differs
+between the classes beyond chance (log-likelihood ratio), in favour of either, make up the vocabulary. No more terms are
+possible than the examples hold, and none that pass are left out. All words together are one more term, so that a mention
+in a long text weighs less than in a short one. Inverse document frequencies count all documents. Score. For each document
+the k examples of greatest cosine vote, weighted by their closeness, against a prior; a logistic curve, fitted on
 leave-one-out votes of the examples and weighted back to the classes' true shares,
 makes the vote a probability. The nearest examples and the terms shared are the evidence.
 
-The search is exact: examples are kept in blocks, each term holds the largest weight of
-each block, blocks are visited by descending upper bound, and the search ends when no bound
+The search is exact. Postings (example, weight) of a term are sparse and cut by blocks of examples; each cut knows its largest
+weight. Sums of these bound a block's cosines; blocks are read by descending bound, in growing groups, until no bound
 can reach the k-th cosine. Equal cosines go to the smaller example number.
 
 Nulls: a null text counts as empty; an empty text, or one without vocabulary terms,
-gets the score of examples without terms. Rows with null labels or ids don't train. With no
-example of label 1 every score is 0. Repeated rows score alike. Extra columns are ignored.
+gets the score of examples without terms. Rows with null labels or ids don't train; a repeated id trains once, by its
+smallest text, as toxic if any of its labels is 1. With no example of label 1, or none of label 0, every score is 0. Repeated rows
+score alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,14 +43,43 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges start..end in a row, and the range that each belongs to."""
+    size = ends - starts
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + starts[own], own
+
+
+@dataclass
+class Rows:
+    """Sparse rows: terms (ascending) and weights of row i are those from first[i] to first[i + 1]."""
+
+    first: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        lengths = [len(t) for t, _ in rows]
+        join = lambda k, kind: np.concatenate([r[k] for r in rows]).astype(kind) if rows else np.empty(0, dtype=kind)
+        return Rows(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), join(0, np.int64), join(1, np.float64))
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.first[i] : self.first[i + 1]], self.weights[self.first[i] : self.first[i + 1]]
+
+    def dense(self, width: int) -> np.ndarray:
+        out = np.zeros((len(self.first) - 1, width))
+        out[np.repeat(np.arange(len(out)), np.diff(self.first)), self.terms] = self.weights
+        return out
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray  # of the examples, as given
     labels: np.ndarray
-    matrix: np.ndarray  # examples x terms, rows of length 1 or 0
-    block_max: np.ndarray  # terms x blocks
+    rows: Rows  # examples x terms, of length 1
     k: int
     prior: float
     curve: np.ndarray  # of the logistic: intercept, vote, vote of the nearest
@@ -60,23 +90,43 @@ class Index:
 
     def __init__(self, model: Model):
         self.m = model
-        n = len(model.labels)
-        self.blocks = [(b, min(b + BLOCK, n)) for b in range(0, n, BLOCK)]
-        # inverted lists by block: examples of a block are rows, terms columns
-        self.parts = [np.ascontiguousarray(model.matrix[a:b].T) for a, b in self.blocks]
+        self.n = len(model.labels)
+        self.blocks = -(-self.n // BLOCK)
+        example = np.repeat(np.arange(self.n), np.diff(model.rows.first))
+        order = np.lexsort((example, model.rows.terms))
+        self.who, self.weight, term = example[order], model.rows.weights[order], model.rows.terms[order]
+        key = term * max(1, self.blocks) + self.who // BLOCK
+        # cuts: the postings of one term in one block
+        self.cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        self.cut_end = np.r_[self.cut[1:], len(key)].astype(np.int64)
+        self.cut_block = self.who[self.cut] // BLOCK
+        self.cut_max = np.maximum.reduceat(self.weight, self.cut) if len(key) else np.empty(0)
+        self.term_cuts = np.searchsorted(term[self.cut], np.arange(len(model.vocabulary) + 2))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, nearest first; only cosines above 0."""
-        bounds = weights @ self.m.block_max[terms]
+        cuts, own = spread(self.term_cuts[terms], self.term_cuts[terms + 1])
+        blocks, share = self.cut_block[cuts], weights[own]
+        bounds = np.bincount(blocks, self.cut_max[cuts] * share, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        who, cos, worst = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in order:
-            if bounds[b] <= 0 or (len(who) == k and bounds[b] < worst - 1e-12):
+        order = order[bounds[order] > 0]
+        who, cos, worst, at, group = np.empty(0, dtype=np.int64), np.empty(0), 0.0, 0, 2
+        taken = np.zeros(self.blocks, dtype=bool)
+        while at < len(order):
+            now = order[at : at + group]
+            if len(who) == k:
+                now = now[bounds[now] >= worst - 1e-12]
+            if not len(now):
                 break
-            s = weights @ self.parts[b][terms]
+            at, group = at + group, group * 4
+            taken[:] = False
+            taken[now] = True
+            read = np.flatnonzero(taken[blocks])
+            places, cut = spread(self.cut[cuts[read]], self.cut_end[cuts[read]])
+            s = np.bincount(self.who[places], self.weight[places] * share[read][cut], minlength=self.n)
             hit = np.flatnonzero(s > 0)
-            hit = hit[hit + self.blocks[b][0] != skip]
-            who, cos = np.concatenate([who, hit + self.blocks[b][0]]), np.concatenate([cos, s[hit]])
+            hit = hit[hit != skip]
+            who, cos = np.concatenate([who, hit]), np.concatenate([cos, s[hit]])
             if len(who) > k:
                 keep = np.lexsort((who, -np.round(cos, 12)))[:k]
                 who, cos = who[keep], cos[keep]
@@ -84,6 +134,14 @@ class Index:
         keep = np.lexsort((who, -np.round(cos, 12)))
         return who[keep], cos[keep]
 
+    def shared(self, terms: np.ndarray, weights: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """What each term adds to the cosines with these examples."""
+        rows = self.m.rows
+        places, _ = spread(rows.first[who], rows.first[who + 1])
+        at = np.searchsorted(terms, rows.terms[places])
+        same = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == rows.terms[places])
+        return weights * np.bincount(at[same], rows.weights[places[same]], minlength=len(terms))
+
     def vote(self, who: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """The features of the curve: 1, and the shares of label 1 by closeness, against the prior, of all and of the nearest five."""
         w = cos**4 / (0.02 + np.maximum(0, 1 - cos))
@@ -138,11 +196,11 @@ def logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridg
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", examples_per_class: int = 1500, k: int = 21, min_ratio: float = 12.0, max_terms: int = 4096) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", examples_per_class: int = 1500, k: int = 21, min_ratio: float = 12.0) -> Model | None:
     """A model from the labelled rows; None without both classes.
 
-    At most examples_per_class rows of each class are used, those first by crc32 of their ids; these bounds
-    prove the size of what is broadcast to the scan of docs and of what comes back.
+    At most examples_per_class rows of each class are used, those first by crc32 of their ids; this bound
+    proves the size of what is broadcast to the scan of docs and of what comes back.
     """
     spark = docs.sparkSession
     pool = labels.select(id_col, F.col(label_col).alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isin(0, 1))
@@ -153,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
     order = [F.crc32(F.concat(F.lit("example"), F.col(id_col).cast("string"))), F.col(id_col)]
     chosen = pool.where("y = 1").orderBy(*order).limit(examples_per_class).unionByName(pool.where("y = 0").orderBy(*order).limit(examples_per_class))
     # 2 x examples_per_class rows of two numbers
-    sample = docs.select(id_col, "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    sample = docs.select(id_col, "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text")).select(id_col, "text", "y")
     staged = Staged(sample, "toxic-examples")
     sample = staged.df
 
@@ -178,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
     a, b, t = F.col("a").cast("double"), F.col("b").cast("double"), (F.col("a") + F.col("b")).cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, t * n1 / (n1 + n0)) + part(b, t * n0 / (n1 + n0)) + part(n1 - a, n1 - t * n1 / (n1 + n0)) + part(n0 - b, n0 - t * n0 / (n1 + n0)))
-    best = seen.where((a * n0 > b * n1 * 3) & (a >= 2)).withColumn("g", F.round(ratio, 9)).where(F.col("g") >= min_ratio).orderBy(F.desc("g"), "term").limit(max_terms)
-    vocabulary = {r["term"]: i for i, r in enumerate(best.select("term").collect(), 1)}
+    one_sided = ((a * n0 > b * n1 * 3) & (a >= 2)) | ((b * n1 > a * n0 * 3) & (b >= 2))
+    best = seen.where(one_sided).withColumn("g", F.round(ratio, 9)).where(F.col("g") >= min_ratio).orderBy(F.desc("g"), "term")
+    vocabulary = {r["term"]: i for i, r in enumerate(best.select("term").collect(), 1)}  # terms of the examples only
     total, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + df)) + 1.0
     idf[0] = 1.0
@@ -200,23 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
     kind = dict(sample.dtypes)[id_col]
     rows = sorted(arrow_rows(sample, second, f"id {kind}, y int, terms array<long>, weights array<double>").collect(), key=lambda r: r["id"])
     staged.drop()
-    matrix = np.zeros((len(rows), len(vocabulary) + 1))
-    for i, r in enumerate(rows):
-        matrix[i, r["terms"]] = r["weights"]
     y = np.array([r["y"] for r in rows], dtype=np.float64)
     ids = np.array([r["id"] for r in rows])
-    used = np.flatnonzero(matrix.any(axis=1))
-    # examples without terms are no neighbours of anything; they count in the curve below
-    order_ = used[np.lexsort((used, matrix[used, 0], matrix[used, 1:].argmax(axis=1) if vocabulary else used))]  # examples that share their main term share blocks, so bounds are tight
-    block_max = np.stack([matrix[order_[i : i + BLOCK]].max(axis=0) for i in range(0, len(order_), BLOCK)], axis=1) if len(order_) else np.zeros((matrix.shape[1], 0))
+    vectors = [(np.array(r["terms"], dtype=np.int64), np.array(r["weights"])) for r in rows]
+    used = [i for i, (t, _) in enumerate(vectors) if len(t)]
+    # examples without terms are no neighbours of anything; they count in the curve below. Examples that share
+    # their main term, and weigh all words alike, share blocks, so that bounds are tight
+    main = lambda t, w: int(t[t > 0][np.argmax(w[t > 0])]) if (t > 0).any() else 0
+    order_ = sorted(used, key=lambda i: (main(*vectors[i]), vectors[i][1][0] if vectors[i][0][0] == 0 else 0.0, i))
     share = sizes[1] / (sizes[0] + sizes[1])
-    model = Model(vocabulary, idf, ids[order_], y[order_], matrix[order_], block_max, k, share, np.zeros(3))
+    model = Model(vocabulary, idf, ids[order_], y[order_], Rows.of([vectors[i] for i in order_]), k, share, np.zeros(3))
     index = Index(model)
-    place = {int(e): i for i, e in enumerate(order_)}
-    features = []
-    for i in range(len(rows)):
-        terms = np.flatnonzero(matrix[i])
-        features.append(index.vote(*(index.nearest(terms, matrix[i, terms], k, place[i]) if len(terms) else (np.empty(0, dtype=np.int64), np.empty(0)))))
+    place = {e: i for i, e in enumerate(order_)}
+    none = (np.empty(0, dtype=np.int64), np.empty(0))
+    features = [index.vote(*(index.nearest(t, w, k, place[i]) if len(t) else none)) for i, (t, w) in enumerate(vectors)]
     weights = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     model.curve = logistic(np.array(features), y, weights * len(y) / weights.sum())
     return model
@@ -244,7 +300,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
         step.finish = finish
         return step
 
-    rows = arrow_rows(docs.select("text"), make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # max_terms + 1 at most
+    rows = arrow_rows(docs.select("text"), make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term at most
     df = np.zeros(n + 1)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -264,7 +320,7 @@ def decider(m: Model | None):
         terms, weights = weigh(counts, m.idf) if counts else (None, None)
         who, cos = (index.nearest(terms, weights, m.k) if len(counts) > 1 else plain) if counts and counts[0] else none
         p = float(1 / (1 + np.exp(-np.clip(index.vote(who, cos) @ m.curve, -30, 30))))
-        shared = weights * m.matrix[who][:, terms].sum(axis=0) if len(who) else np.empty(0)
+        shared = index.shared(terms, weights, who) if len(who) else np.empty(0)
         evidence = [names[terms[t]] for t in np.argsort(-shared, kind="stable")[:6] if shared[t] > 0 and terms[t]]
         return p, m.ids[who[:5]], cos[:5], evidence
 

@@ -53,18 +53,50 @@ def test_toxicity_held_out(spark):
     assert all(x % 6 == 0 for r in held if r.toxic and r.predicted for x in r.neighbours[:1])
 
 
-def test_toxicity_search_is_exact(spark):
+def test_toxicity_search_is_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     docs, labels = toxic_docs(spark)
     model = toxicity.fit(docs, labels, k=7)
-    index = toxicity.Index(model)
+    index, matrix = toxicity.Index(model), model.rows.dense(len(model.idf))
     r = random.Random(1)
-    for _ in range(50):
-        q = model.matrix[r.randrange(len(model.labels))].copy()
+    for n in range(150):
+        q = matrix[r.randrange(len(matrix))].copy()
+        if n % 3:  # a text of its own: some terms of two examples, and one of none
+            q = np.where(np.random.default_rng(n).random(len(q)) < 0.5, q, matrix[r.randrange(len(matrix))])
         t = q.nonzero()[0]
         who, cos = index.nearest(t, q[t], 7)
-        want = (model.matrix @ q).round(12)
+        want = (matrix @ q).round(12)
         order = sorted(range(len(want)), key=lambda i: (-want[i], i))[:7]
-        assert list(who) == [i for i in order if want[i] > 0]
+        assert list(who) == [i for i in order if want[i] > 0] and list(cos.round(12)) == [want[i] for i in who]
+        assert index.shared(t, q[t], who).round(9).tolist() == (q[t] * matrix[who][:, t].sum(axis=0)).round(9).tolist()
+
+
+def test_toxicity_against_brute_force(spark):
+    """Votes and calibration of every document, from a dense matrix of the examples and plain sorting."""
+    import numpy as np
+
+    docs, labels = toxic_docs(spark, n=120)
+    model = toxicity.fit(docs, labels, k=5, examples_per_class=15)
+    assert len(model.labels) <= 30
+    matrix, vectors = model.rows.dense(len(model.idf)), toxicity.Vectors(model.vocabulary)
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    n = len(texts)
+    for word, i in list(model.vocabulary.items())[:40]:  # frequencies count all documents
+        held = sum(any(word in toxicity.terms_of(w) for w in set(t.split())) for t in texts.values())
+        assert model.idf[i] == pytest.approx(np.log((1 + n) / (1 + held)) + 1)
+    for x in toxicity.score(docs, model).collect():
+        q = np.zeros(len(model.idf))
+        for t, c in vectors.counts(texts[x.doc_id]).items():
+            q[t] = (1 + np.log(c) if t else toxicity.OTHER * np.log1p(c)) * model.idf[t]
+        q /= np.linalg.norm(q)
+        cos = matrix @ q
+        near = sorted((i for i in range(len(cos)) if cos[i] > 0), key=lambda i: (-round(cos[i], 12), i))[:5]
+        w = [cos[i] ** 4 / (0.02 + max(0, 1 - cos[i])) for i in near]
+        share = (sum(a * model.labels[i] for a, i in zip(w, near)) + 3 * model.prior) / (sum(w) + 3)
+        assert x.score == pytest.approx(1 / (1 + np.exp(-np.clip(model.curve @ [1, share, share], -30, 30))), rel=1e-6)
+        assert x.neighbours == [model.ids[i] for i in near]
 
 
 def test_toxicity_odd_inputs(spark):
@@ -74,6 +106,9 @@ def test_toxicity_odd_inputs(spark):
     assert len(rows) == len(ODD) and all(r.predicted == 0 for r in rows)
     assert toxicity.score(none(spark), model).count() == 0
     assert toxicity.fit(none(spark), labels) is None
+    twice = docs.union(spark.createDataFrame([(0, "a smaller text, first by order", "en", "s", 0)], SCHEMA))
+    again = [toxicity.fit(d, labels) for d in (twice, twice.repartition(7))]
+    assert (again[0].rows.weights == again[1].rows.weights).all() and again[0].vocabulary == again[1].vocabulary
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.toxicity(docs.limit(2), empty).collect()] == [0.0, 0.0]
     kept = toxicity.without_toxic(docs.unionByName(none(spark)), model)
