@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import occurrences as occ
+from ..sources.splits import read_spread
 
 #: Terms of a map list, and bounds of document frequency for co-occurrence tables.
 MAP_TERMS = 60
 
 
+#: Tables of long texts, whose work is in the scan's own stage.
+TEXTS = {"documents", "pages"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
