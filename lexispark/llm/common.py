@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.splits import read_spread
+
 #: Spark's setting to delete shuffle files at the end of an execution.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that an operator is given at once. Spark closes an Arrow batch at maxRecordsPerBatch rows or
@@ -25,8 +27,9 @@ TEXT_BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data set; only Spark opens the path. Tables whose rows are much work are dealt over all cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path) if name in ("documents", "pages", "embeddings") else spark.read.parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
