@@ -26,7 +26,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits().alias("edits")))
+    """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded of each document's kept tree before and after three edits (`token_counts.sample_edits`)."""
+    return token_counts.count_after_sample_edits(read(spark, sf_dir, "documents"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Edit-aware token counts: each document keeps a segment tree over its pre-token segments.
 
-`count_tokens` counts whole texts; `count_after_edits` builds each document's tree, applies
-its edits in order, and re-encodes only the leaves that an edit touches, with their
-neighbours up to places where parts can be encoded apart; sums change along the paths above.
+`build_trees` makes a table of trees, which is written and kept; `with_edits` joins a table of edits to it, and
+`edit_trees` applies them and returns the trees to keep, with their counts. Only the leaves that an edit touches, with their
+neighbours up to places where parts can be encoded apart, are encoded again; sums change along the paths above. No text is
+encoded twice: a kept tree is read back with its counts. `count_tokens` counts whole texts at once.
 Counts equal those of encoding the edited text anew.
 
 Nulls: a null text counts as empty, a null list of edits as none, a null new text as a deletion.
-Places outside the text are moved to its ends. Empty texts have 0 tokens. Repeated rows count alike. Extra columns are ignored.
+Places outside the text are moved to its ends. Empty texts have 0 tokens. Repeated rows count alike; edits of an id go to all rows
+of that id, none to rows without one. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import Staged, arrow_rows
 from .tokens import Encoder, SegmentTree
 
 EDITS = "array<struct<start:bigint,end:bigint,new:string>>"
@@ -31,41 +33,75 @@ def count_tokens(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long")
 
 
-def count_after_edits(docs: DataFrame, *, leaf_chars: int = 512, tokenizer: str | None = None, return_text: bool = False) -> DataFrame:
-    """docs: doc_id, text, edits (start, end, new; places in the text as the edits before left it).
+TREE = "shape array<int>, leaves array<string>, tokens array<long>"
 
-    Returns doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded (by the edits alone), and the text if asked for.
-    """
+
+def build_trees(docs: DataFrame, *, leaf_chars: int = 512, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_chars, n_tokens, and the tree of each row of docs (doc_id, text): shape, leaves, tokens as `SegmentTree.stored` gives them."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"] + ["text"] * return_text
 
     def make():
         encoder = Encoder(tokenizer)
 
         def step(batch):
-            out = {k: [] for k in names}
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out = {k: [] for k in ("n_chars", "n_tokens", "shape", "leaves", "tokens")}
+            for text in batch.column(1).to_pylist():
                 tree = SegmentTree(text or "", encoder.count, leaf_chars)
-                out["n_tokens"].append(tree.tokens)
-                before = tree.encoded
+                for k, x in zip(out, (tree.chars, tree.tokens, *tree.stored())):
+                    out[k].append(x)
+            return out | {"doc_id": batch.column(0)}
+
+        return step
+
+    return arrow_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_chars long, n_tokens long, {TREE}")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees with the column `edits` from rows (doc_id, step, start, end, new), in the order of step; equal steps by their other columns. An id's edits are one row: they depend on each other."""
+    each = edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("step", "start", "end", "new"))).alias("_edits"))
+    own = F.transform("_edits", lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].alias("new")))
+    return trees.join(each, "doc_id", "left").select(*(c for c in trees.columns if c != "edits"), own.alias("edits"))
+
+
+def edit_trees(trees: DataFrame, *, leaf_chars: int = 512, tokenizer: str | None = None, keep: bool = True) -> DataFrame:
+    """Applies each tree's `edits` (start, end, new; places in the text as the edits before left it).
+
+    Returns doc_id, n_tokens (before), n_tokens_edited, n_chars_edited, n_chars_encoded (by the edits), and the trees as they
+    are now, if they are to be kept.
+    """
+    kind = dict(trees.dtypes)["doc_id"]
+    names = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
+
+    def make():
+        encoder = Encoder(tokenizer)
+
+        def step(batch):
+            out = {k: [] for k in names + ["shape", "leaves", "tokens"] * keep}
+            for shape, leaves, tokens, edits in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                tree = SegmentTree.restored(shape, leaves, tokens, encoder.count, leaf_chars)
+                before = tree.tokens
                 for e in edits or []:
                     start = min(max(0, e["start"] or 0), tree.chars)
                     tree.edit(start, min(max(start, e["end"] or 0), tree.chars), e["new"] or "")
-                out["n_tokens_edited"].append(tree.tokens)
-                out["n_chars_edited"].append(tree.chars)
-                out["n_chars_encoded"].append(tree.encoded - before)
-                if return_text:
-                    out["text"].append(tree.text())
+                for k, x in zip(out, (before, tree.tokens, tree.chars, tree.encoded, *(tree.stored() if keep else ()))):
+                    out[k].append(x)
             return out | {"doc_id": batch.column(0)}
 
         return step
 
-    return arrow_rows(docs.select("doc_id", "text", F.col("edits").cast(EDITS)), make, f"doc_id {kind}, " + ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    given = trees.select("doc_id", "shape", "leaves", "tokens", F.col("edits").cast(EDITS))
+    return arrow_rows(given, make, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + (f", {TREE}" if keep else ""))
+
+
+def count_after_sample_edits(docs: DataFrame, *, leaf_chars: int = 512, tokenizer: str | None = None) -> DataFrame:
+    """Builds the trees of docs (doc_id, text), keeps them in the shared folder, and counts before and after `sample_edits` of every kept tree."""
+    trees = Staged(build_trees(docs, leaf_chars=leaf_chars, tokenizer=tokenizer), "trees").df
+    return edit_trees(trees.withColumn("edits", sample_edits()), leaf_chars=leaf_chars, tokenizer=tokenizer, keep=False)
 
 
-def sample_edits(text="text"):
+def sample_edits(n_chars="n_chars"):
     """Three edits of any text, by its length: a heading put before it, seven characters in its middle replaced, its last five deleted."""
-    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    n = F.coalesce(F.col(n_chars), F.lit(0)).cast("long")
     head = "Second edition. "
     half = F.floor((n + len(head)) / 2)
     end = n + F.lit(len(head))

@@ -218,35 +218,99 @@ def test_ids_are_the_tokenizers(spark, sf):
         assert e.ids(t) == e.slow(t) and e.count(t) == len(e.ids(t)) // 4
 
 
+def heights(node):
+    return {0} if isinstance(node.below, str) else {h + 1 for x in node.below for h in heights(x)}
+
+
 def test_segment_tree_edits():
     e = Encoder()
     r = random.Random(7)
     for i in range(120):
-        s = "".join(r.choice(["abc", " ", " de", " fgh", " ij\n", ".", "12", "é ", "'s", "  ", "\n\n", " "]) for _ in range(r.randint(0, 200)))
-        tree = SegmentTree(s, e.count, leaf_chars=r.choice([4, 16, 64]))
-        for _ in range(6):
+        s = "".join(r.choice(["abc", " ", " de", " fgh", " ij\n", ".", "12", "é ", "'s", "  ", "\n\n", " "]) for _ in range(r.choice([0, 5, 200, 1500])))
+        leaf = r.choice([4, 16, 64])
+        tree = SegmentTree(s, e.count, leaf_chars=leaf)
+        for _ in range(12):
             a = r.randint(0, len(s))
-            b = min(len(s), a + r.choice([0, 1, 5, 50, 500]))
-            new = "".join(r.choice(["a", " ", "\n", " xyz"]) for _ in range(r.choice([0, 0, 1, 3, 60])))
+            b = min(len(s), a + r.choice([0, 1, 5, 50, 1500]))
+            new = "".join(r.choice(["a", " ", "\n", " xyz"]) for _ in range(r.choice([0, 0, 1, 3, 60, 900])))
             s = s[:a] + new + s[b:]
             tree.edit(a, b, new)
-            assert tree.text() == s and tree.chars == len(s) and tree.tokens == len(e.slow(s)) // 4
+            assert tree.text() == s and tree.chars == len(s) and tree.tokens == len(e.slow(s)) // 4 and len(heights(tree.root)) == 1
+            if r.random() < 0.3:
+                tree = SegmentTree.restored(*tree.stored(), e.count, leaf)
 
 
-def test_count_after_edits(spark):
+def test_an_edit_leaves_other_nodes_alone():
     e = Encoder()
-    docs = odd(spark).select("doc_id", "text", token_counts.sample_edits().alias("edits"), F.lit(0).alias("n_tokens"))
-    rows = token_counts.count_after_edits(docs, return_text=True).collect()
+    tree = SegmentTree("some words of text here " * 20_000, e.count)
+    kept = set()
+
+    def walk(x):
+        kept.add(id(x))
+        if not isinstance(x.below, str):
+            for y in x.below:
+                walk(y)
+
+    walk(tree.root)
+    old, before, nodes = set(kept), tree.encoded, tree.root
+    tree.edit(100_000, 100_003, "other words " * 300)  # more leaves than before
+    kept.clear()
+    walk(tree.root)
+    assert len(kept - old) < 40 and len(kept) > 900 and tree.encoded - before < 8_000 and nodes is not tree.root
+
+
+def test_trees_are_kept_between_edits(spark, tmp_path):
+    e = Encoder()
+    trees = token_counts.build_trees(odd(spark), leaf_chars=64)
+    trees.write.parquet(f"{tmp_path}/0")
+    texts = {}
+    for i, t in ODD:
+        texts[i] = t or ""
+    r = random.Random(3)
+    for step in range(3):
+        edits = []
+        for i in (1, 2, 4, 5, 6, 8, 777):
+            for k in range(r.choice([0, 1, 3])):
+                t = texts.get(i, "")
+                a, b = sorted((r.randint(0, len(t)), r.randint(0, len(t))))
+                b = min(b, a + 40)
+                new = r.choice(["x", " new words here", None])
+                edits.append((i, k, a, b, new))
+                texts[i] = t[:a] + (new or "") + t[b:]
+        table = spark.createDataFrame([*edits, (None, 0, 0, 0, "lost")], "doc_id long, step int, start long, end long, new string")
+        kept = spark.read.parquet(f"{tmp_path}/{step}")
+        token_counts.edit_trees(token_counts.with_edits(kept, table), leaf_chars=64).write.parquet(f"{tmp_path}/{step + 1}")
+        rows = spark.read.parquet(f"{tmp_path}/{step + 1}").collect()
+        assert len(rows) == len(ODD)
+        for x in rows:
+            want = "no id here at all, none" if x.doc_id is None else texts[x.doc_id]
+            assert "".join(x.leaves) == want and x.n_tokens_edited == e.count(want) and x.n_chars_edited == len(want)
+            if x.doc_id == 6:
+                assert x.n_chars_encoded < 0.1 * x.n_chars_edited
+    assert token_counts.edit_trees(token_counts.with_edits(token_counts.build_trees(none(spark)), table)).count() == 0
+
+
+def test_count_after_sample_edits(spark):
+    e = Encoder()
+    rows = token_counts.count_after_sample_edits(odd(spark).withColumn("n_tokens", F.lit(0))).collect()
     assert len(rows) == len(ODD)
-    for x in rows:
-        assert x.n_tokens_edited == e.count(x.text) and x.n_chars_edited == len(x.text)
-        assert x.text.startswith("Second e")
+    want = Counter()
+    for _, t in ODD:
+        n = t = t or ""
+        t = "Second edition. " + t
+        half = len(t) // 2
+        t = t[:half] + "changed" + t[half + 7 :]
+        t = t[: max(0, len(t) - 5)]
+        want[e.count(n), e.count(t), len(t)] += 1
+    assert Counter((x.n_tokens, x.n_tokens_edited, x.n_chars_edited) for x in rows) == want
     long = next(x for x in rows if x.doc_id == 6)
-    assert long.n_chars_encoded < 0.1 * long.n_chars_edited and "changed" in long.text
+    assert long.n_chars_encoded < 0.1 * long.n_chars_edited
     given = {t: e.count(t or "") for _, t in ODD}
     assert sorted(x.n_tokens for x in token_counts.count_tokens(odd(spark)).collect()) == sorted(given[t] for _, t in ODD)
-    strange = spark.createDataFrame([(1, "abc", [(9, 1, "x"), (-4, None, None)]), (2, None, None)], f"doc_id long, text string, edits {token_counts.EDITS}")
-    assert {x.doc_id: x.text for x in token_counts.count_after_edits(strange, return_text=True).collect()} == {1: "abcx", 2: ""}
+    strange = token_counts.build_trees(spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string"))
+    strange = strange.withColumn("edits", F.when(F.col("doc_id") == 1, F.expr("array(struct(9L, 1L, 'x'), struct(-4L, cast(null as bigint), cast(null as string)))")))
+    assert {x.doc_id: "".join(x.leaves) for x in token_counts.edit_trees(strange).collect()} == {1: "abcx", 2: ""}
+    assert token_counts.count_after_sample_edits(none(spark)).count() == 0
 
 
 # ---- packing
