@@ -140,8 +140,25 @@ def test_top_k_against_brute_force(spark):
     assert [x.vec_id for x in search.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_of_repeated_ids_and_rows(spark):
+    """Each row is a query of its own, and no candidate for itself alone."""
+    r = random.Random(6)
+    vec = [(50, [1.0, 0.0]), (50, [0.0, 9.0]), (7, [5.0, 5.0]), (50, [0.0, 9.0]), (100, []), (101, []), (102, [])]
+    vec += [(r.choice([0, 50, 100, 3]), [r.choice([-1.0, 0.0, 2.0]), r.choice([0.5, 1.0])]) for _ in range(60)]
+    df = spark.createDataFrame(vec, "vec_id long, embedding array<double>").repartition(6)
+    want = Counter()
+    for k, (q, v) in enumerate(vec):
+        if q % 50 == 0:
+            s = sorted((-sum(int(256 * a // 1) * int(256 * b // 1) for a, b in zip(v, w)), i) for j, (i, w) in enumerate(vec) if j != k and len(w) == len(v))[:5]
+            want.update((q, n + 1, i, -x) for n, (x, i) in enumerate(s))
+    assert Counter(tuple(x) for x in search.top_k(df, df.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score").collect()) == want
+    other = spark.createDataFrame([(50, [3.0, 3.0])], "vec_id long, embedding array<double>")  # of no row of the table
+    assert [(x.vec_id, x.score) for x in search.top_k(df.limit(0).union(spark.createDataFrame(vec[:3], df.schema)), other).orderBy("rank").collect()] == [(7, 1966080), (50, 1769472), (50, 196608)]
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "PART", 2)
     r = random.Random(4)
     df = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
     got = {(x.query_id, x["rank"]): x.vec_id for x in search.top_k(df, df.where("vec_id % 5 = 0"), k=3).collect()}
