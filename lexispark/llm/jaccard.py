@@ -10,13 +10,13 @@ count falls below what their sizes demand of the prefixes, are discarded. (4) Wh
 
 Groups of near copies don't become all their pairs. (3) and (4) run first for each row with
 the hubs (smallest ids) of its columns alone; rows linked with a hub make its group, and links join groups into
-components. The second, complete run compares groups of different components that meet in a column: their
-hubs are decided by whole sets, and as 1 - Jaccard is a metric, members can be linked only if their
+components. The second, complete run does (3) for groups of different components: their shared columns are counted, and
+pairs of single rows are held against the bound from their sizes. Hubs of what is left are decided by whole sets, and as 1 - Jaccard is a metric, members can be linked only if their
 distances from their hubs make up for what the hubs' distance exceeds the threshold by; only
 such members are compared. No link between different components is lost, so components are exact.
 
 Nulls: a null text has no words, an empty set and no links; rows with a null doc_id get a null component. Texts of fewer words than n are
-one shingle. Repeated ids are one node. Empty tables give no rows. Extra columns are ignored.
+one shingle. Ids must be whole numbers (they are cast to long). Repeated ids are one node. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,8 +194,8 @@ def shared_columns(blocks: DataFrame, count: int) -> DataFrame:
     return arrow_rows(blocks.repartition(tasks, "block"), make, "h long, d long, f boolean", batch_rows=32)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each node of the edges (a, b) the smallest node it is connected with. Alternating large and small stars.
+def components(edges: DataFrame) -> tuple[DataFrame, Staged]:
+    """(node, root): for each node of the edges (a, b) the smallest node it is connected with, and the table that this reads. Alternating large and small stars.
 
     Each round is written to the shared folder. Every node joins its smallest neighbour, so hubs of very many edges take part as
     sums (partial minima), never as one gathered list.
@@ -217,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = mark
     roots = state.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(state.df.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return roots.union(state.df.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), state
 
 
 def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Staged:
@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     counted = enough(starred, percent)
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("k <= 2").select("a", "b")
     first = keep(compared(docs, best, n, percent)).df.where("linked")
-    roots = keep(Staged(components(first), "roots")).df
+    roots, edges = components(first)
+    roots = keep(Staged(roots, "roots")).df
+    edges.drop()
     groups = first.groupBy(F.col("b").alias("r")).agg(F.min(F.struct("distance", F.col("a").alias("hub"))).alias("g"))
     rows = table.select("r", "n").distinct().join(groups, "r", "left").join(roots.select(F.col("node").alias("r"), "root"), "r", "left")
     rows = keep(Staged(rows.select("r", "n", F.coalesce("g.hub", "r").alias("g"), F.coalesce("g.distance", F.lit(0.0)).alias("d"), F.coalesce("root", "r").alias("root")), "groups")).df
@@ -297,15 +299,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     met = met.join(mixed, "h", "left_semi")
     x, y = (met.select("h", F.col("g").alias(f"g{i}"), F.col("root").alias(f"r{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"), F.col("f").alias(f"f{i}")) for i in "xy")
     fits = (F.col("lowx") * percent <= F.col("highy") * 100) & (F.col("lowy") * percent <= F.col("highx") * 100)
-    pairs = x.join(y.where("fy"), "h").where((F.col("rx") != F.col("ry")) & fits).select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
+    met_in = x.join(y, "h").where((F.col("gx") < F.col("gy")) & (F.col("rx") != F.col("ry")) & fits)
+    # counts accumulate over columns; of linked sets one has the column of one of its index places
+    pairs = met_in.groupBy(F.col("gx").alias("a"), F.col("gy").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("fx") | F.col("fy")).alias("f")).where("f")
     side = lambda i: own.select(F.col("g").alias(i), F.col("root").alias(f"r{i}"), F.col("reach").alias(f"reach{i}"), F.col("size").alias(f"size{i}"), F.col("low").alias(f"n{i}"))
-    pairs = keep(Staged(pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb"), "met")).df
-    # where both groups are one row, their shared columns are counted against the bound from their sizes
-    single = pairs.where("sizea = 1").select(F.col("a").alias("g")).union(pairs.where("sizeb = 1").select("b")).distinct()
-    alone = table.join(rows.join(single, "g", "left_semi").where("g = r").select("r"), "r", "left_semi").groupBy("r").agg(F.collect_set("h").alias("hs"))  # no more than the row's own prefix
-    pairs = pairs.join(alone.select(F.col("r").alias("a"), F.col("hs").alias("ha")), "a", "left").join(alone.select(F.col("r").alias("b"), F.col("hs").alias("hb")), "b", "left")
-    enough_shared = F.size(F.array_intersect("ha", "hb")) >= least_shared(F.col("na"), F.col("nb"), percent)
-    pairs = keep(Staged(pairs.where(F.col("ha").isNull() | F.col("hb").isNull() | enough_shared).select("a", "b", "reacha", "reachb", "sizea", "sizeb"), "pairs")).df
+    # where both groups are one row, c is what their prefixes share
+    enough_shared = F.col("c") >= least_shared(F.col("na"), F.col("nb"), percent)
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("ra") != F.col("rb")).where((F.col("sizea") > 1) | (F.col("sizeb") > 1) | enough_shared)
+    pairs = keep(Staged(pairs.select("a", "b", "reacha", "reachb", "sizea", "sizeb"), "pairs")).df
     second = keep(compared(docs, pairs.select("a", "b"), n, percent)).df
     # hubs too far for a link: members that could be near enough
     limit = 1 - percent / 100 + 1e-9
@@ -324,8 +325,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     far = far.join(ends("b"), "b").where((F.col("da") + F.col("db") >= F.col("distance") - limit) & sized & shared)
     far = far.where((F.col("ma") != F.col("a")) | (F.col("mb") != F.col("b"))).select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct()
     third = keep(compared(docs, far, n, percent)).df
-    final = components(first.union(second.where("linked")).union(third.where("linked")))
-    for table in steps:
+    final, _ = components(first.union(second.where("linked")).union(third.where("linked")))
+    for table in steps:  # all but the tables `named` and `final`, which the result reads
         table.drop()
     return named.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
