@@ -92,6 +92,12 @@ class Staged:
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
+    def keep(self) -> None:
+        """Leaves the table where its scope ends."""
+        for own in _scopes:
+            if self in own:
+                own.remove(self)
+
     def drop(self) -> None:
         """Removes the files, once nothing reads them any more."""
         system, path = self._file()
