@@ -2,7 +2,13 @@
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents. Rejected documents are gone
-for good; personal data are masked in the text that is packed.
+for good; personal data are masked in the text that is packed. What a stage stages, and what it read, is dropped
+once its own result is written; the last result goes with the session.
+
+Nulls: documents with a null text count as empty: they pass all stages and are packed as their end mark. Those with a null id
+can't be labelled or be copies of others; they pass these stages, are judged by their text in the others, and are packed with a null id.
+Ties: of equal or near copies the smallest id stays; rows of a repeated id stay or go together, but for the toxicity of each one's text.
+An empty table gives an empty result of the same columns. Extra columns stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm import decontaminate, jaccard, packing, pii, toxicity
-from lexispark.llm.common import Staged, read
+from lexispark.llm.common import Staged, read, staging
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    return run_over(spark, read(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_over(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over docs; labels and benchmark are those of the folder."""
+    last = None
     for name, stage in STAGES:
-        docs = Staged(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with staging():
+            new = Staged(stage(spark, docs, sf_dir), f"stage-{name}")
+            new.keep()
+        if last is not None:
+            last.drop()
+        last, docs = new, new.df
     return docs
