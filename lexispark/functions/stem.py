@@ -94,22 +94,12 @@ def stem(word: str, lang: str = "en") -> str:
     return porter(word) if lang == "en" else french(word) if lang == "fr" else word
 
 
-def stem_udf(lang: str = "en"):
-    """A pandas UDF over a column of words."""
+def stem_udf():
+    """A pandas UDF over columns of distinct words and their language codes: callers stem each word once and join."""
 
     @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else stem(w, lang))
-
-    return run
-
-
-def stem_array_udf():
-    """A pandas UDF over arrays of words and their language codes."""
-
-    @F.pandas_udf("array<string>")
     def run(words: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([None if ws is None else [stem(w, lang or "") for w in ws] for ws, lang in zip(words, langs)])
+        return pd.Series([None if w is None else stem(w, lang or "") for w, lang in zip(words, langs)], dtype=object)
 
     return run
 

@@ -58,13 +58,13 @@ def confluence(edges: DataFrame, steps: int = 3) -> DataFrame:
     return limit.select(F.col("start").alias("x"), F.col("node").alias("y"), (F.col("p") / (F.col("p") + F.col("d") / F.col("all"))).alias("value"))
 
 
-def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
-    """(node, component): the smallest node each is connected with. Labels fall along edges and then along labels, halving distances; state is checkpointed each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node each is connected with. Labels fall along edges and then along labels, halving distances, until nothing changes; state is checkpointed each round."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     state = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct().checkpoint()
     last = None
-    for _ in range(most):
+    while True:
         sym = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -79,16 +79,26 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
 
 
 def checkpoint_dir(spark) -> None:
-    """The cluster's folder for checkpoints, or a temporary one where none is named (tests)."""
+    """The cluster's folder for checkpoints. A session on one machine alone may do without; it gets a folder that goes at exit."""
+    import atexit
+    import shutil
     import tempfile
 
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lexispark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by label propagation: each node takes the label of most weight around it, ties to the smaller; bounded rounds, deterministic."""
+    """(node, community) by label propagation: each node takes the label of most weight around it, ties to the smaller. Deterministic; labels can swing between
+    nodes for ever, so the result is by definition that of `rounds` rounds, or of fewer if nothing changes any more."""
     weight = "weight" if "weight" in edges.columns else None
     e = both_ways(edges.select("src", "dst", (F.col(weight) if weight else F.lit(1.0)).alias("w")))
     checkpoint_dir(edges.sparkSession)
@@ -124,30 +134,48 @@ def bridge_by_confluence(edges: DataFrame, confluences: DataFrame, *, conditiona
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
-    """(component, clique): maximal cliques, one component at a time (Bron-Kerbosch with pivots)."""
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    parts = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rows = pairs.join(parts, F.col("a") == F.col("node")).select("component", "a", "b")
-    kind = dict(rows.dtypes)["a"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["component"].iloc[0], sorted(c)) for c in cliques_of(list(zip(pdf["a"], pdf["b"])))], columns=["component", "clique"])
-
-    return rows.groupBy("component").applyInPandas(run, f"component {kind}, clique array<{kind}>")
-
+    """(clique): maximal cliques as sorted arrays (Bron-Kerbosch with pivots), a task for each node.
 
-def cliques_of(pairs: list[tuple]) -> list[set]:
+    Nodes are ordered by degree; a clique is found at its first node, from that node's neighbours and the edges between them alone,
+    so a large component is many tasks' work.
+    """
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    deg = degrees(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rank = lambda n: deg.select(F.col("node").alias(n), F.col("degree").alias(f"d{n}"))
+    placed = pairs.join(rank("a"), "a").join(rank("b"), "b")
+    forward = F.struct("da", "a") < F.struct("db", "b")
+    placed = placed.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"))
+    near = placed.select("u", "v", F.lit(True).alias("later")).unionByName(placed.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("later")))
+    between = near.select("u", F.col("v").alias("a")).join(pairs, "a").join(near.select("u", F.col("v").alias("b")), ["u", "b"]).select("u", "a", "b", F.lit(None).cast("boolean").alias("later"))
+    rows = near.select("u", F.col("v").alias("a"), F.col("v").alias("b"), "later").unionByName(between)
+    kind = dict(pairs.dtypes)["a"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, links = pdf[pdf["later"].notna()], pdf[pdf["later"].isna()]
+        later = set(own.loc[own["later"].astype(bool), "a"])
+        found = cliques_of(list(zip(links["a"], links["b"])), later, set(own["a"]) - later)
+        return pd.DataFrame([(sorted([key[0], *c]),) for c in found], columns=["clique"])
+
+    return rows.groupBy("u").applyInPandas(run, f"clique array<{kind}>")
+
+
+def cliques_of(pairs: list[tuple], candidates: set | None = None, before: set | None = None) -> list[set]:
+    """Maximal cliques of the edges; of the candidates alone, and of those none that a node of `before` extends, if these are given."""
     near: dict = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     out: list[set] = []
-    stack = [(set(), set(near), set())]
+    stack = [(set(), set(near) if candidates is None else set(candidates), set(before or ()))]
+    for v in stack[0][1] | stack[0][2]:
+        near.setdefault(v, set())
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
             out.append(r)
             continue
+        if not p:
+            continue
         pivot = max(p | x, key=lambda v: len(near[v] & p))
         for v in sorted(p - near[pivot]):
             stack.append((r | {v}, p & near[v], x & near[v]))

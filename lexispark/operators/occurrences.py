@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,64 @@ def document_frequency(occ: DataFrame, key: str = "doc_id", by: tuple[str, ...]
     return occ.groupBy(*by, "term").agg(F.count(key).alias("n_docs"))
 
 
+def distinct_terms(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """Rows of docs with `terms`, the distinct words of each; nothing is shuffled."""
+    return docs.select(*keep, F.array_distinct(tokens(text)).alias("terms"))
+
+
+def row_frequency(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, term, n_docs) of rows with `terms`: each row is a document, so counts are added up on the map side and shuffled once, by term."""
+    return rows.select(*by, F.explode("terms").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+#: Terms of a list up to which pairs are counted in square tables, one in each task and group: 4 bytes a pair.
+SQUARE = 4096
+
+
+def list_cooccurrence(rows: DataFrame, vocabulary: DataFrame, by: str | None = None, *, diagonal: bool = True) -> DataFrame:
+    """(by, x, y, n) with x >= y: in how many rows (with `terms`, distinct) both terms of a bounded list are. vocabulary: term (and by).
+
+    For a list of SQUARE terms or fewer (of each group, of which there must be few) a task adds the pairs of its rows into a square
+    table and hands on the cells that aren't 0: neither words nor pairs are shuffled, only these sums. Longer lists are counted by `cooccurrence`.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names: dict[str, list[str]] = {}
+    few = vocabulary.select(*([by] if by else []), "term").limit(64 * SQUARE + 1).collect()
+    for r in sorted(few, key=lambda r: r["term"]):
+        names.setdefault(r[by] if by else "", []).append(r["term"])
+    keep = [by] if by else []
+    if len(few) > 64 * SQUARE or any(len(v) > SQUARE for v in names.values()):
+        each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, F.explode("terms").alias("term"))
+        return cooccurrence(each.join(vocabulary.select(*keep, "term").distinct(), [*keep, "term"], "left_semi"), "_row", "term", tuple(keep), diagonal=diagonal)
+    held = rows.sparkSession.sparkContext.broadcast({g: {t: i for i, t in enumerate(dict.fromkeys(v))} for g, v in names.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = held.value
+        square = {}
+        for batch in batches:
+            groups = batch.column(1).to_pylist() if by else [""] * batch.num_rows
+            for g, terms in zip(groups, batch.column(0).to_pylist()):
+                own = places.get(g)
+                if own is None or not terms:
+                    continue
+                at = np.array([i for t in terms if (i := own.get(t)) is not None], dtype=np.int64)
+                if g not in square:
+                    square[g] = np.zeros((len(own), len(own)), dtype=np.int32)
+                square[g][np.ix_(at, at)] += 1
+        for g, table in square.items():
+            words = np.array(list(places[g]), dtype=object)
+            x, y = np.nonzero(np.tril(table, 0 if diagonal else -1))
+            for k in range(0, len(x), 50_000):
+                a, b = x[k : k + 50_000], y[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(a), pa.string()), pa.array(words[a], pa.string()), pa.array(words[b], pa.string()), pa.array(table[a, b], pa.int64())], names=["g", "x", "y", "n"])
+
+    cells = rows.select("terms", *([F.col(by).cast("string").alias(by)] if by else [])).mapInArrow(run, "g string, x string, y string, n long")
+    cells = cells.withColumnRenamed("g", by) if by else cells.drop("g")
+    return cells.groupBy(*keep, "x", "y").agg(F.sum("n").alias("n"))
+
+
 def top_terms(df: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The n terms of most documents (of each group); ties by term."""
     if not by:
@@ -64,7 +124,7 @@ def top_context(occ: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def cooccurrence(items: DataFrame, context: str = "doc_id", item: str = "term", by: tuple[str, ...] = (), *, diagonal: bool = True) -> DataFrame:
-    """(by, x, y, n) with x >= y: in how many contexts both items are. items needs only distinct rows of a bounded vocabulary.
+    """(by, x, y, n) with x >= y: in how many contexts both items are. items needs only distinct rows of a bounded vocabulary: the pairs of a context grow with the square of its items.
 
     The items of a context are gathered as one sorted array and pairs made from it, so the table is shuffled once, not joined with itself.
     """
@@ -115,12 +175,12 @@ def recent_frequency(occ: DataFrame, dates: DataFrame, n: int, key: str = "doc_i
     return occ.join(recent, key, "left_semi").groupBy("term").agg(F.countDistinct(key).alias("n_docs"))
 
 
-def by_stem(occ: DataFrame, lang: str = "en") -> DataFrame:
-    """(stem, label, n): occurrences by stem, labelled by the most frequent form, ties to the smaller. Distinct terms are stemmed once each."""
+def by_stem(occ: DataFrame, lang: str = "lang") -> DataFrame:
+    """(lang, stem, label, n): occurrences by language and stem, labelled by the most frequent form, ties to the smaller. Distinct terms are stemmed once each."""
     from ..functions.stem import stem_udf
 
-    counts = occ.groupBy("term").agg(F.sum("doc_count").alias("c"))
-    return counts.withColumn("stem", stem_udf(lang)("term")).groupBy("stem").agg(F.min_by("term", F.struct(-F.col("c"), "term")).alias("label"), F.sum("c").alias("n"))
+    counts = occ.groupBy(lang, "term").agg(F.sum("doc_count").alias("c"))
+    return counts.withColumn("stem", stem_udf()("term", lang)).groupBy(lang, "stem").agg(F.min_by("term", F.struct(-F.col("c"), "term")).alias("label"), F.sum("c").alias("n"))
 
 
 def bipartite(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

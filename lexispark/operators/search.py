@@ -16,11 +16,14 @@ RESULT_LIMITS = (2000, 4000)
 
 
 def stems_of(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Distinct stems of each document as an array. Words are deduplicated before they reach Python, and each worker remembers stems."""
-    from ..functions.stem import stem_array_udf
-
-    words = docs.select(key, F.col(lang), F.array_distinct(tokens(text)).alias("words"))
-    return words.select(key, F.array_sort(F.array_distinct(stem_array_udf()("words", lang))).alias("stems"))
+    """Distinct stems of each document as an array; none where there are no words. Keys are unique. The distinct words of each language are stemmed once and joined."""
+    from ..functions.stem import stem_udf
+
+    words = docs.select(key, F.col(lang), F.explode_outer(F.array_distinct(tokens(text))).alias("word"))
+    known = words.where("word IS NOT NULL").select(lang, "word").distinct().withColumn("stem", stem_udf()("word", lang))
+    known = known.select(F.col(lang).alias("_lang"), F.col("word").alias("_word"), "stem")
+    both = words.join(known, (F.col("word") == F.col("_word")) & F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    return both.groupBy(key).agg(F.array_sort(F.collect_set("stem")).alias("stems"))
 
 
 def query_stems(query: str, lang: str = "en") -> list[str]:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .graph import checkpoint_dir
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, *, most: int = 50) -> DataFrame:
+#: Levels beyond which a tree is taken for one with a cycle.
+DEEPEST = 1000
+
+
+def descendants(nodes: DataFrame, roots: DataFrame, *, most: int = DEEPEST) -> DataFrame:
     """(id, root, depth) of all nodes below the roots (id), themselves at depth 0. nodes: id, parent_id.
 
-    One equi-join a level, each checkpointed so that a level isn't computed again for the next. Cycles end at `most` levels.
+    One equi-join a level, each checkpointed so that a level isn't computed again for the next. Nodes deeper than `most` levels, as in a cycle, are an error.
     """
     checkpoint_dir(nodes.sparkSession)
     edges = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
@@ -21,13 +25,13 @@ def descendants(nodes: DataFrame, roots: DataFrame, *, most: int = 50) -> DataFr
         level = level.join(edges, F.col("id") == F.col("parent")).select(F.col("child").alias("id"), "root", F.lit(d).alias("depth"))
         level = level.checkpoint()
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"the tree has nodes deeper than {most} levels, or a cycle")
 
 
-def ancestors(nodes: DataFrame, start: DataFrame, *, most: int = 50) -> DataFrame:
-    """(id, ancestor, depth) of the given nodes (id); themselves at depth 0."""
+def ancestors(nodes: DataFrame, start: DataFrame, *, most: int = DEEPEST) -> DataFrame:
+    """(id, ancestor, depth) of the given nodes (id); themselves at depth 0. More than `most` levels, as in a cycle, are an error."""
     checkpoint_dir(nodes.sparkSession)
     edges = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).where("parent IS NOT NULL")
     level = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
@@ -35,9 +39,9 @@ def ancestors(nodes: DataFrame, start: DataFrame, *, most: int = 50) -> DataFram
     for d in range(1, most + 1):
         level = level.join(edges, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).checkpoint()
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"the tree has nodes deeper than {most} levels, or a cycle")
 
 
 def closest_of_type(nodes: DataFrame, start: DataFrame, typename: int, *, including_self: bool = False) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import occurrences as occ
+from ..operators.graph import checkpoint_dir
 from ..sources.splits import read_spread
 
-#: Terms of a map list, and bounds of document frequency for co-occurrence tables.
-MAP_TERMS = 60
+#: Terms of a map list, and of the list that the cubic kernel and searches of cliques run on.
+MAP_TERMS, KERNEL_TERMS = 1000, 60
 
 
 #: Tables of long texts, whose work is in the scan's own stage.
@@ -21,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_spread(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream. The pattern stands for a single file as well as for a folder of files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the title is the first line, the year follows from the id."""
     d = read(spark, sf_dir, "documents")
@@ -41,15 +48,20 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occ.occurrences(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", "text", "lang")
 
 
+def row_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, terms) of all documents: the distinct words of each."""
+    return occ.distinct_terms(read(spark, sf_dir, "documents"), "text", "doc_id", "lang", "source")
+
+
 def map_terms(spark: SparkSession, sf_dir: str, n: int = MAP_TERMS) -> DataFrame:
     """The map list: the n terms of most documents."""
-    return occ.top_terms(occ.document_frequency(document_terms(spark, sf_dir)), n).select("term")
+    return occ.top_terms(occ.row_frequency(row_terms(spark, sf_dir)), n).select("term")
 
 
 def map_cooc(spark: SparkSession, sf_dir: str, n: int = MAP_TERMS) -> DataFrame:
-    """Co-occurrence (x >= y, n) of the map list over all documents. The list is bounded, so it is broadcast."""
-    own = document_terms(spark, sf_dir).join(F.broadcast(map_terms(spark, sf_dir, n)), "term", "left_semi")
-    return occ.cooccurrence(own.select("doc_id", "term"))
+    """Co-occurrence (x >= y, n) of the map list over all documents. The queries that read it use it several times, so it is kept once counted."""
+    checkpoint_dir(spark)
+    return occ.list_cooccurrence(row_terms(spark, sf_dir), map_terms(spark, sf_dir, n)).checkpoint()
 
 
 def node_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

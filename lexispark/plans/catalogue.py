@@ -30,11 +30,12 @@ occ AS (SELECT doc_id, lang, term, count(*) AS doc_count FROM tok GROUP BY ALL),
 df AS (SELECT term, count(*) AS n_docs FROM occ GROUP BY term)"""
 CTX = r"""ctx AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS abstract, lang, source, (1990 + doc_id % 30)::INT AS year, n_chars::DOUBLE AS score FROM documents),
 links AS (SELECT d.source AS corpus, d.doc_id AS context_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS category, n_chars::DOUBLE AS link_score FROM documents d LEFT JOIN labels l USING (doc_id))"""
-MAP = f"""map AS (SELECT term FROM df ORDER BY n_docs DESC, term LIMIT {ad.MAP_TERMS}),
+_MAP = """map AS (SELECT term FROM df ORDER BY n_docs DESC, term LIMIT {}),
 items AS (SELECT DISTINCT doc_id, term FROM occ WHERE term IN (SELECT term FROM map)),
 cooc AS (SELECT a.term AS x, b.term AS y, count(*) AS n FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.term >= b.term GROUP BY ALL),
 off AS (SELECT x, y, n FROM cooc WHERE x <> y UNION ALL SELECT y, x, n FROM cooc WHERE x <> y),
 diag AS (SELECT x AS t, n AS nt FROM cooc WHERE x = y)"""
+MAP, KERNEL = _MAP.format(ad.MAP_TERMS), _MAP.format(ad.KERNEL_TERMS)
 NODES = """nodes AS (SELECT 'root' AS id, NULL AS parent_id, 1 AS typename, 'root' AS name
   UNION ALL SELECT 'r' || r_regionkey, 'root', 2, r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 30, n_name FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 31, c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 4, o_orderstatus FROM orders)"""
@@ -55,20 +56,20 @@ def query(sql: str | None = None):
 # ---- terms and co-occurrence
 
 
-@query(f"""WITH {TOK}, ldf AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(*) BETWEEN 20 AND 200),
-own AS (SELECT o.lang, o.doc_id, o.term FROM occ o JOIN ldf USING (lang, term))
+@query(f"""WITH {TOK}, ldf AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM occ GROUP BY lang, term),
+own AS (SELECT o.lang, o.doc_id, o.term FROM occ o JOIN ldf USING (lang, term) WHERE r <= {ad.MAP_TERMS})
 SELECT a.lang, a.term AS x, b.term AS y, count(*) AS n FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.lang = b.lang AND a.term >= b.term
-GROUP BY ALL HAVING count(*) > 5 ORDER BY n DESC, a.lang, x, y LIMIT 1000""")
+GROUP BY ALL ORDER BY n DESC, a.lang, x, y LIMIT 1000""")
 def cooc_by_lang(spark, d):
-    """The thousand most frequent co-occurrences by language of terms that 20 to 200 documents hold."""
-    own = occ.by_frequency(ad.document_terms(spark, d), 20, 200, by=("lang",))
-    pairs = occ.cooccurrence(own, by=("lang",)).where("n > 5")
-    return pairs.orderBy(F.desc("n"), "lang", "x", "y").limit(1000)
+    """The thousand most frequent co-occurrences of each language's map list, counted over all documents."""
+    rows = ad.row_terms(spark, d)
+    lists = occ.top_terms(occ.row_frequency(rows, ("lang",)), ad.MAP_TERMS, ("lang",))
+    return occ.list_cooccurrence(rows, lists, "lang").orderBy(F.desc("n"), "lang", "x", "y").limit(1000)
 
 
 @query(f"WITH {TOK} SELECT term, n_docs FROM df WHERE n_docs > 1")
 def term_doc_counts(spark, d):
-    return occ.document_frequency(ad.document_terms(spark, d)).where("n_docs > 1")
+    return occ.row_frequency(ad.row_terms(spark, d)).where("n_docs > 1")
 
 
 @query(f"""WITH {TOK}, asked AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(lower(text), '[,.:;?!(){{}}\\[\\]"''\\s]+')) AS term FROM benchmark) WHERE term <> '')
@@ -98,14 +99,15 @@ def top_context_per_term(spark, d):
 SELECT lo.term, round(t.n / lo.n * ln(t.n / least(df.n_docs, t.n)), 6) AS score FROM lo JOIN df USING (term), t""")
 def tficf_user_vs_master(spark, d):
     """Scores of the English documents' terms against all documents."""
-    o = ad.document_terms(spark, d)
+    rows = ad.row_terms(spark, d)
     total = ad.read(spark, d, "documents").where("lang = 'en'").count()
-    return similarity.tficf_table(occ.document_frequency(o.where("lang = 'en'")), occ.document_frequency(o), total).select("term", F.round("score", 6).alias("score"))
+    return similarity.tficf_table(occ.row_frequency(rows.where("lang = 'en'")), occ.row_frequency(rows), total).select("term", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {TOK}, t AS (SELECT count(*) AS n FROM documents), w AS (SELECT sum(n_docs / t.n) AS w FROM df, t) SELECT term, round(n_docs / t.n / w, 9) AS frequency FROM df, t, w")
+@query(f"WITH {TOK.replace('df AS (', 'df AS MATERIALIZED (')} SELECT term, round(n_docs / (SELECT sum(n_docs) FROM df), 9) AS frequency FROM df")
 def term_normalised_frequency(spark, d):
-    df = occ.document_frequency(ad.document_terms(spark, d))
+    """Each term's share of documents over the sum of all terms' shares."""
+    df = occ.row_frequency(ad.row_terms(spark, d))
     return occ.normalised_frequency(df, ad.read(spark, d, "documents").count()).withColumn("frequency", F.round("frequency", 9))
 
 
@@ -225,12 +227,12 @@ def conditional_matrix_minimax(spark, d):
     return similarity.conditional_matrix(ad.map_cooc(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {TOK}, {MAP}, s AS (SELECT x, sum(n) AS s FROM off GROUP BY x), tot AS (SELECT sum(s) AS total FROM s), t AS (SELECT x AS t FROM s),
+@query(f"""WITH {TOK}, {KERNEL}, s AS (SELECT x, sum(n) AS s FROM off GROUP BY x), tot AS (SELECT sum(s) AS total FROM s), t AS (SELECT x AS t FROM s),
 mi AS (SELECT a.t AS x, b.t AS y, coalesce(ln(total * n / (sa.s * sb.s)), 0) AS mi FROM t a CROSS JOIN t b LEFT JOIN off ON off.x = a.t AND off.y = b.t JOIN s sa ON sa.x = a.t JOIN s sb ON sb.x = b.t, tot),
 v AS (SELECT a.x AS x, b.x AS y, sum(least(a.mi, b.mi)) AS top, sum(a.mi) AS bot FROM mi a JOIN mi b ON a.y = b.y AND a.x <> b.x AND a.y <> a.x AND a.y <> b.x GROUP BY ALL)
 SELECT x, y, round(coalesce(top / nullif(bot, 0), 0), 4) AS value FROM v""")
 def log_distributional(spark, d):
-    return similarity.log_distributional(ad.map_cooc(spark, d), keep_all=True).withColumn("value", F.round("value", 4))
+    return similarity.log_distributional(ad.map_cooc(spark, d, ad.KERNEL_TERMS), keep_all=True).withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH {TOK}, {MAP}, p AS (SELECT x, y, n / nt AS p FROM cooc JOIN diag ON t = y), k AS (SELECT count(*) AS k FROM diag),
@@ -256,17 +258,21 @@ def knn_links(spark, d):
     return similarity.nearest_links(m, 5).select("x", "y", F.col("rank").cast("int").alias("rank"))
 
 
-@query("""WITH e AS (SELECT DISTINCT cn.c_nationkey AS src, s.s_nationkey AS dst FROM orders o JOIN customer cn ON cn.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE cn.c_nationkey <> s.s_nationkey AND l.l_linenumber = 7 AND l.l_quantity = 50),
+@query("""WITH e AS (SELECT DISTINCT cn.c_nationkey AS src, s.s_nationkey AS dst FROM orders o JOIN customer cn ON cn.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE cn.c_nationkey <> s.s_nationkey),
 b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), a AS (SELECT src, dst, 1 / count(*) OVER (PARTITION BY src) AS w FROM b)
-SELECT p.src AS start, r.dst AS node, round(sum(p.w * q.w * r.w), 6) AS p FROM a p JOIN a q ON q.src = p.dst JOIN a r ON r.src = q.dst GROUP BY ALL""")
+SELECT p.src AS start, r.dst AS node, round(sum(p.w * q.w * r.w), 9) AS p FROM a p JOIN a q ON q.src = p.dst JOIN a r ON r.src = q.dst GROUP BY ALL""")
 def random_walk_3(spark, d):
-    """Walks of three steps on the graph of nations that trade lines of quantity 50 in place 7."""
-    lines = ad.read(spark, d, "lineitem").where("l_linenumber = 7 AND l_quantity = 50").select("l_orderkey", "l_suppkey")
-    o, c, s = ad.read(spark, d, "orders"), ad.read(spark, d, "customer"), ad.read(spark, d, "supplier")
-    e = lines.join(o, lines.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, lines.l_suppkey == s.s_suppkey)
-    e = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("src <> dst").distinct()
+    """Walks of three steps on the graph of nations that trade."""
+    e = _trade(spark, d)
     starts = graph.both_ways(e).select(F.col("src").alias("node")).distinct()
-    return graph.walk(e, starts, 3).select("start", "node", F.round("p", 6).alias("p"))
+    return graph.walk(e, starts, 3).select("start", "node", F.round("p", 9).alias("p"))
+
+
+def _trade(spark, d):
+    """(src, dst): nations one of whose customers ordered from a supplier of the other."""
+    o, c, s, lines = (ad.read(spark, d, t) for t in ("orders", "customer", "supplier", "lineitem"))
+    e = lines.join(o, lines.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, lines.l_suppkey == s.s_suppkey)
+    return e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("src <> dst").distinct()
 
 
 # ---- joins, trees, changes
@@ -359,11 +365,13 @@ def events_signed_counts(spark, d):
     return ad.read(spark, d, "events").groupBy("user_id").agg(F.sum(change).cast("long").alias("delta"))
 
 
-@query("""WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang <> 'en') SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'insert' ELSE 'delete' END AS change FROM a FULL JOIN b ON a.source = b.source WHERE a.source IS NULL OR b.source IS NULL""")
+@query("""WITH n AS (SELECT doc_id, (n_chars > 1000)::INT AS v FROM documents)
+SELECT coalesce(l.doc_id, n.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' ELSE 'update' END AS change FROM labels l FULL JOIN n USING (doc_id) WHERE l.quality IS DISTINCT FROM n.v""")
 def list_difference(spark, d):
-    docs = ad.read(spark, d, "documents")
-    a, b = (docs.where(w).select("source").distinct().withColumn("v", F.lit(1)) for w in ("lang = 'en'", "lang <> 'en'"))
-    return relations.changed(a, b, "source", "v")
+    """What leads from the labels' judgements to one by length: rows put in, and rows changed."""
+    old = ad.read(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("v"))
+    new = ad.read(spark, d, "documents").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("v"))
+    return relations.changed(old, new, "doc_id", "v")
 
 
 @query("""SELECT d.doc_id, coalesce(l.quality, 1)::INT AS category FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -415,37 +423,51 @@ def patch_pull(spark, d):
     return last.drop("old_list").join(first, "term").select("term", "old_list", "new_list", "version")
 
 
-@query(f"""WITH {TOK}, w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> '') AS ws FROM documents),
-f AS (SELECT DISTINCT array_to_string(list_slice(list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> ''), 1, 3), ' ') AS form FROM benchmark),
-r AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) AS form FROM w WHERE len(ws) >= 3)
-SELECT doc_id, form AS label, count(*) AS n FROM r JOIN f USING (form) GROUP BY ALL""")
+WORDS = r"""list_filter(string_split_regex(lower(text), '[,.:;?!(){}\[\]"''\s]+'), lambda x: x <> '')"""
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), b AS (SELECT item_id, {WORDS} AS fs FROM benchmark), f AS (SELECT DISTINCT item_id, fs FROM b WHERE len(fs) > 0),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), h AS (SELECT doc_id, i, item_id, len(fs) AS n FROM p JOIN f ON ws[i] = fs[1] AND ws[i:i + len(fs) - 1] = fs),
+l AS (SELECT doc_id, i, arg_max(item_id, (n, item_id)) AS item_id FROM h GROUP BY doc_id, i)
+SELECT doc_id, item_id AS label, count(*) AS n FROM l GROUP BY ALL""")
 def dictionary_match(spark, d):
-    """The first three words of each benchmark item as forms, found in all documents."""
-    b = ad.read(spark, d, "benchmark").select(F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("form")).where(F.size(F.split("form", " ")) == 3)
-    return extraction.match_dictionary(ad.read(spark, d, "documents").select("doc_id", "text"), b.select(F.col("form").alias("label"), "form"), longest=3)
+    """The benchmark's items, whole, as forms, found in all documents."""
+    b = ad.read(spark, d, "benchmark").select(F.col("item_id").alias("label"), F.array_join(tx.tokens("text"), " ").alias("form")).where("form <> ''")
+    return extraction.match_dictionary(ad.read(spark, d, "documents").select("doc_id", "text"), b)
 
 
-@query()
+#: Runs of words between stop words and marks, as (doc_id, phrase).
+PHRASES = rf"""fr AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\n]+')) AS s FROM documents),
+mk AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({", ".join(f"'{w}'" for w in extraction.STOP_WORDS)}) THEN chr(1) ELSE w END), ' ') AS m FROM fr),
+ph AS (SELECT doc_id, trim(unnest(string_split(m, chr(1)))) AS phrase FROM mk)"""
+
+
+@query(f"""WITH {PHRASES}, p AS (SELECT doc_id, phrase, count(*) AS n FROM ph WHERE phrase <> '' GROUP BY ALL), e AS (SELECT doc_id, phrase, n, len(string_split(phrase, ' ')) AS k, unnest(string_split(phrase, ' ')) AS word FROM p),
+s AS (SELECT doc_id, word, sum(k * n) / sum(n) AS s FROM e GROUP BY ALL) SELECT doc_id, phrase, round(sum(s), 6) AS score FROM e JOIN s USING (doc_id, word) GROUP BY ALL""")
 def key_phrases(spark, d):
-    return extraction.key_phrases(ad.read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
+    return extraction.key_phrases(ad.read(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, lang, text, ' ' || lower(text) || ' ' AS x FROM documents), g AS (SELECT doc_id, lang, unnest(list_transform(range(1, greatest(1, length(x) - 2) + 1), lambda i: substring(x, i, 3))) AS gram FROM t WHERE text <> ''),
+c AS (SELECT lang, gram, count(*) AS c FROM g SEMI JOIN labels USING (doc_id) GROUP BY ALL), p AS (SELECT lang AS label, gram, ln(c / sum(c) OVER (PARTITION BY lang)) AS weight FROM c),
+n AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY ALL), a AS (SELECT doc_id, label, round(sum(c * (weight + 14)), 9) AS s FROM n JOIN p USING (gram) GROUP BY ALL), b AS (SELECT doc_id, max(s) AS s, arg_max(label, (s, 255 - ascii(label), 255 - ascii(label[2]))) AS label FROM a GROUP BY doc_id)
+SELECT t.lang, CASE WHEN t.text <> '' THEN CASE WHEN b.s >= 0 THEN b.label ELSE (SELECT min(label) FROM p) END END AS detected, count(*) AS n FROM t LEFT JOIN b USING (doc_id) GROUP BY ALL""")
 def lang_detect(spark, d):
-    """Each document's language by the characters of benchmark-sized samples: the profile is trained on the labelled documents' languages."""
+    """Each document's language by its runs of characters: the profile is that of all labelled documents."""
     docs = ad.read(spark, d, "documents").select("doc_id", "lang", "text")
-    lab = ad.read(spark, d, "labels").select("doc_id").orderBy("doc_id").limit(200)  # the training sample's bound
-    profile = extraction.char_profile(docs.join(F.broadcast(lab), "doc_id", "left_semi"))
+    profile = extraction.char_profile(docs.join(ad.read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").where("text <> ''"))
     return extraction.detect_language(docs, profile).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(F.count("*").alias("n"))
 
 
 @query()
 def segment_terms(spark, d):
-    """Benchmark items cut into terms by autonomy learnt from all of them."""
-    return extraction.segment_terms(ad.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 3)
+    """All documents cut into terms by autonomy learnt from all of them."""
+    return extraction.segment_terms(ad.read(spark, d, "documents").select("doc_id", "text"), 3)
 
 
-@query()
+@query(f"""WITH {TOK}, k AS (SELECT o.doc_id, term, doc_count AS n, quality = 1 AS fav FROM occ o JOIN labels USING (doc_id)), c AS (SELECT term, coalesce(sum(n) FILTER (fav), 0) AS a, coalesce(sum(n) FILTER (NOT fav), 0) AS b FROM k GROUP BY term),
+t AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM c), w AS (SELECT term, ln((a + 1) / (ta + v)) - ln((b + 1) / (tb + v)) AS w FROM c, t)
+SELECT doc_id, round(sum(doc_count * w) / sum(doc_count), 9) AS score FROM occ JOIN w USING (term) WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100""")
 def more_like_favourites(spark, d):
     """Documents without a label most like those of quality 1, against those of quality 0."""
     o = ad.document_terms(spark, d).select("doc_id", "term", F.col("doc_count").alias("n"))
@@ -453,19 +475,18 @@ def more_like_favourites(spark, d):
     return extraction.more_like(o, lab, limit=100)
 
 
-@query(f"""WITH {TOK}, c AS (SELECT doc_id, array_to_string(list_sort(string_split(replace(term, '-', ' '), ' ')), ' ') AS k, term FROM occ WHERE term LIKE '%-%'), g AS (SELECT k, min(term) AS root FROM (SELECT DISTINCT k, term FROM c) GROUP BY k HAVING count(*) > 1)
-SELECT DISTINCT c.term, g.root FROM c JOIN g USING (k)""")
+@query(f"""WITH {TOK}, c AS (SELECT term, array_to_string(list_sort(list_filter(string_split(term, ''), lambda x: x <> '')), '') AS k FROM df), g AS (SELECT k, min(term) AS root FROM c GROUP BY k HAVING count(*) > 1) SELECT term, root FROM c JOIN g USING (k)""")
 def grouped_forms(spark, d):
-    """Hyphenated forms of the same words, whatever their order."""
-    t = ad.document_terms(spark, d).where("term LIKE '%-%'").select("term")
-    return terms.grouped_forms(t, F.array_join(F.array_sort(F.split(F.replace(F.col("term"), F.lit("-"), F.lit(" ")), " ")), " "))
+    """Terms of the same letters, whatever their order, under the smallest of them: the key of forms is the caller's."""
+    t = ad.row_terms(spark, d).select(F.explode("terms").alias("term"))
+    return terms.grouped_forms(t, F.array_join(F.array_sort(F.filter(F.split("term", ""), lambda x: x != "")), ""))
 
 
 # ---- graphs and temporal graphs
 
 
-def _link_edges(spark, d):
-    m = similarity.conditional(ad.map_cooc(spark, d)).where("value >= 0.9")
+def _link_edges(spark, d, n=ad.MAP_TERMS):
+    m = similarity.conditional(ad.map_cooc(spark, d, n)).where("value >= 0.9")
     return m.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.col("value").alias("weight"))
 
 
@@ -478,17 +499,20 @@ def components(spark, d):
 
 @query()
 def communities(spark, d):
-    return graph.communities(_link_edges(spark, d))
+    return graph.communities(_link_edges(spark, d, ad.KERNEL_TERMS))
 
 
-@query()
+@query(f"""WITH {TOK}, {KERNEL}, p AS (SELECT y AS a, x AS b FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y AND greatest(n / da.nt, n / db.nt) >= 0.9),
+e AS (SELECT a AS s, b AS t FROM p UNION SELECT b, a FROM p), l AS (SELECT s, t FROM e UNION SELECT s, s FROM e), w AS (SELECT s, t, 1 / count(*) OVER (PARTITION BY s) AS w FROM l),
+q AS (SELECT u.s AS x, z.t AS y, sum(u.w * v.w * z.w) AS p FROM w u JOIN w v ON v.s = u.t JOIN w z ON z.s = v.t GROUP BY ALL), d AS (SELECT s, count(*) + 1 AS d FROM e GROUP BY s)
+SELECT x, y, round(p / (p + d / (SELECT sum(d) FROM d)), 6) AS value FROM q JOIN d ON d.s = y""")
 def confluence(spark, d):
-    return graph.confluence(_link_edges(spark, d), 3).withColumn("value", F.round("value", 6))
+    return graph.confluence(_link_edges(spark, d, ad.KERNEL_TERMS), 3).withColumn("value", F.round("value", 6))
 
 
 @query()
 def maximal_cliques(spark, d):
-    return graph.maximal_cliques(_link_edges(spark, d)).select(F.array_join("clique", " ").alias("clique"))
+    return graph.maximal_cliques(_link_edges(spark, d, ad.KERNEL_TERMS)).select(F.array_join("clique", " ").alias("clique"))
 
 
 @query(f"""WITH {TOK}, {MAP}, p AS (SELECT y AS a, x AS b, da.nt AS na, db.nt AS nb, n FROM cooc JOIN diag da ON da.t = y JOIN diag db ON db.t = x WHERE x <> y),
@@ -502,16 +526,16 @@ def bridge_topk(spark, d):
     return graph.bridge_links(e, nodes.withColumn("cluster", F.length("node") % 3), 1.0).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@query("""WITH b AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS i FROM lineitem), s1 AS (SELECT i::VARCHAR AS items, count(*) AS freq FROM b GROUP BY i HAVING count(*) >= 25),
-s2 AS (SELECT a.i::VARCHAR || ' ' || c.i::VARCHAR AS items, count(*) AS freq FROM b a JOIN b c ON a.o = c.o AND a.i < c.i GROUP BY a.i, c.i HAVING count(*) >= 25)
-SELECT items, freq FROM s1 UNION ALL SELECT items, freq FROM s2""")
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS i FROM lineitem), t AS (SELECT o, [i] AS s FROM b UNION ALL SELECT t.o, list_append(t.s, b.i) FROM t JOIN b ON b.o = t.o AND b.i > t.s[len(t.s)]),
+s AS (SELECT s, count(*) AS freq FROM t GROUP BY s HAVING count(*) >= 25)
+SELECT array_to_string(s.s, ' ') AS items, freq FROM s WHERE NOT EXISTS (SELECT 1 FROM s u WHERE u.freq = s.freq AND len(u.s) = len(s.s) + 1 AND list_has_all(u.s, s.s))""")
 def itemsets(spark, d):
-    """Suppliers that come together in orders: closed sets of one or two in 25 orders at least."""
+    """Suppliers that come together in orders: closed sets of any size in 25 orders at least."""
     b = ad.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
-    return graph.frequent_itemsets(b, "items", 25).where(F.size("items") <= 2).select(F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "freq")
+    return graph.frequent_itemsets(b, "items", 25).select(F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "freq")
 
 
-@query(f"""WITH {TOK}, n AS (SELECT count(*) AS nd FROM documents), w AS (SELECT term, ln(nd + 1 / tan(pi() / 4)) / ln(n_docs + 1 / tan(pi() / 4)) AS w FROM df, n),
+@query(rf"""WITH {TOK}, n AS (SELECT count(*) AS nd FROM documents), w AS (SELECT term, ln(nd + 1 / tan(pi() / 4)) / ln(n_docs + 1 / tan(pi() / 4)) AS w FROM df, n),
 i AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[,.:;?!(){{}}\[\]"''\s]+'), lambda x: x <> ''))) AS term FROM benchmark),
 s AS (SELECT a.item_id AS x, b.item_id AS y, sum(w) AS shared FROM i a JOIN i b ON a.term = b.term AND a.item_id < b.item_id JOIN w ON w.term = a.term GROUP BY ALL),
 t AS (SELECT item_id, sum(w) AS total FROM i JOIN w USING (term) GROUP BY item_id)
@@ -528,11 +552,13 @@ def weighted_log_jaccard(spark, d):
 
 
 def _phylo_groups(spark, d):
-    own = ad.document_terms(spark, d).join(F.broadcast(ad.map_terms(spark, d, 160)), "term", "left_semi")
-    rare = own.join(F.broadcast(ad.map_terms(spark, d, 130)), "term", "left_anti")
-    docs = rare.groupBy("doc_id").agg(F.collect_set("term").alias("terms")).withColumn("date", (F.lit(1990) + F.col("doc_id") % 30).cast("int"))
+    """Cliques of the kernel list's terms in periods of six years: pairs in more than two documents in three of a period."""
+    mine = ad.row_terms(spark, d)
+    kernel = F.array(*[F.lit(r["term"]) for r in ad.map_terms(spark, d, ad.KERNEL_TERMS).collect()])
+    docs = mine.select(F.array_intersect("terms", kernel).alias("terms"), (F.lit(1990) + F.col("doc_id") % 30).cast("int").alias("date")).where(F.size("terms") > 0)
     placed = phylo.into_periods(docs, 1990, 2019, 6, 6)
-    clusters = phylo.without_nested(phylo.filter_clusters(phylo.clusters_of_periods(placed, kind="cliques", threshold=12, size=3), 1))
+    least = ad.read(spark, d, "documents").count() // 15
+    clusters = phylo.without_nested(phylo.filter_clusters(phylo.clusters_of_periods(placed, kind="cliques", threshold=least, size=3), 1))
     return phylo.groups(clusters)
 
 
@@ -560,13 +586,22 @@ def article_paragraphs(spark, d):
 
 @query("SELECT user_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END)::BIGINT AS total FROM events GROUP BY user_id")
 def stream_signed_counts(spark, d):
-    """The definition of the streamed counts, over the whole table; tests run the same function on a stream."""
-    return ingest.live_deltas(ad.read(spark, d, "events"), "user_id", F.when(F.col("event_type") == "error", -1).otherwise(1)).withColumn("total", F.col("total").cast("long"))
+    """Signed counts kept by a stream over the events' files."""
+    live = ingest.live_deltas(ad.stream(spark, d, "events"), "user_id", F.when(F.col("event_type") == "error", -1).otherwise(1))
+    return ingest.run_to_files(live).withColumn("total", F.col("total").cast("long"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, d):
-    return ingest.windowed_counts(ad.read(spark, d, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
+    """Counts by hour kept by a stream over the events' files."""
+    events = ad.stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.run_to_files(ingest.windowed_counts(events)).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query(f"WITH {TOK} SELECT term, n_docs FROM df")
+def stream_term_counts(spark, d):
+    """Documents of each term, kept by a stream over the documents' files."""
+    return ingest.run_to_files(ingest.live_term_counts(ad.stream(spark, d, "documents")))
 
 
 @query(f"""WITH {TOK}, {MAP}, g AS (SELECT doc_id, string_agg(term, '' ORDER BY term) AS t FROM items GROUP BY doc_id) SELECT doc_id, sha256(doc_id::VARCHAR || sha256(t)) AS hash FROM g""")
@@ -673,7 +708,7 @@ def embedding_components(spark, d):
 
 @query()
 def term_communities_graph(spark, d):
-    nodes, edges = api.term_graph(ad.map_cooc(spark, d), threshold=0.02)
+    nodes, edges = api.term_graph(ad.map_cooc(spark, d, ad.KERNEL_TERMS), threshold=0.02)
     return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
@@ -695,10 +730,10 @@ def pie_by_root(spark, d):
     return occ.counts_by_root(own, roots)
 
 
-@query("""WITH y AS (SELECT unnest(range(1990, 2020)) AS date), c AS (SELECT 1990 + doc_id % 30 AS date, count(*) AS n FROM documents WHERE lang = 'es' AND n_chars > 3000 GROUP BY 1) SELECT y.date, coalesce(n, 0) AS n FROM y LEFT JOIN c USING (date)""")
+@query("""WITH y AS (SELECT unnest(range(1980, 2030)) AS date), c AS (SELECT 1990 + doc_id % 30 AS date, count(*) AS n FROM documents GROUP BY 1) SELECT y.date, coalesce(n, 0) AS n FROM y LEFT JOIN c USING (date)""")
 def docs_per_date_gapfill(spark, d):
-    n = ad.read(spark, d, "documents").where("lang = 'es' AND n_chars > 3000").groupBy((F.lit(1990) + F.col("doc_id") % 30).cast("long").alias("date")).agg(F.count("*").alias("n"))
-    return occ.date_gap_fill(n, "date", "n", 1990, 2019)
+    n = ad.read(spark, d, "documents").groupBy((F.lit(1990) + F.col("doc_id") % 30).cast("long").alias("date")).agg(F.count("*").alias("n"))
+    return occ.date_gap_fill(n, "date", "n", 1980, 2029)
 
 
 @query(f"""WITH {TOK}, t AS (SELECT doc_id, 1990 + doc_id % 30 AS date FROM documents), l AS (SELECT DISTINCT date FROM (SELECT date FROM t ORDER BY date DESC, doc_id LIMIT 50)) SELECT term, count(*) AS n_docs FROM occ JOIN t USING (doc_id) WHERE date IN (SELECT date FROM l) GROUP BY term""")
@@ -709,7 +744,8 @@ def recent_term_frequency(spark, d):
 
 @query()
 def occurrences_by_stem(spark, d):
-    return occ.by_stem(ad.document_terms(spark, d).where("lang = 'en'"))
+    """All documents' occurrences by language and stem."""
+    return occ.by_stem(ad.document_terms(spark, d))
 
 
 @query(f"WITH {TOK}, {MAP} SELECT i.term AS x, d.source AS y, count(*) AS n FROM items i JOIN documents d USING (doc_id) GROUP BY ALL")
@@ -739,18 +775,24 @@ def user_bounds(spark, d):
     return ad.read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def user_sessions(spark, d):
     return series.sessions(ad.read(spark, d, "events"), "user_id", "ts")
 
 
-@query()
+@query(f"""WITH {TOK}, lo AS (SELECT term, count(*) AS n FROM occ WHERE lang = 'en' GROUP BY term HAVING count(*) > 1), t AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'),
+sc AS (SELECT lo.term, round(t.n / lo.n * ln(t.n / least(df.n_docs, t.n)), 9) AS tficf FROM lo JOIN df USING (term), t), map AS (SELECT term, tficf FROM sc ORDER BY tficf, term LIMIT 400),
+items AS (SELECT doc_id, term FROM occ WHERE term IN (SELECT term FROM map)), cooc AS (SELECT a.term AS x, b.term AS y, count(*) AS n FROM items a JOIN items b ON a.doc_id = b.doc_id GROUP BY ALL), diag AS (SELECT x AS t, n AS nt FROM cooc WHERE x = y),
+p AS (SELECT x, y, n / nt AS p FROM cooc JOIN diag ON t = y WHERE x >= y), k AS (SELECT count(*) AS k FROM diag), v AS (SELECT x AS term, (sum(p) - 1) / (any_value(k) - 1) AS v FROM p, k GROUP BY x), h AS (SELECT y AS term, (sum(p) - 1) / (any_value(k) - 1) AS h FROM p, k GROUP BY y),
+f AS (SELECT term, tficf, round(v + h, 9) AS i, round(v - h, 9) AS s FROM map JOIN v USING (term) JOIN h USING (term)), a AS (SELECT * FROM f QUALIFY row_number() OVER (ORDER BY tficf, term) <= round(400 * 0.4)),
+r AS (SELECT *, row_number() OVER (ORDER BY i DESC, term) AS ri, row_number() OVER (ORDER BY s DESC, term) AS rs FROM a), m AS (SELECT *, ri <= round(40 * 0.4) OR rs <= round(60 * 0.4) AS map FROM r),
+c AS (SELECT *, row_number() OVER (PARTITION BY map ORDER BY ri, term) AS c FROM m) SELECT term, 1 AS size, CASE WHEN map THEN 'MapTerm' ELSE 'CandidateTerm' END AS list FROM c WHERE map OR c <= round(100 * 0.4)""")
 def list_build_quotas(spark, d):
-    """A term list with quotas: TF-ICF of the English documents, inclusion and specificity of the 400 lowest."""
-    o = ad.document_terms(spark, d)
+    """A term list with quotas: TF-ICF of the English documents as a corpus against all, inclusion and specificity of the 400 lowest in all documents."""
+    rows = ad.row_terms(spark, d)
     total = ad.read(spark, d, "documents").where("lang = 'en'").count()
-    scored = similarity.tficf_table(occ.document_frequency(o.where("lang = 'en'")), occ.document_frequency(o), total).orderBy("score", "term").limit(400)
-    own = o.join(F.broadcast(scored.select("term")), "term", "left_semi")
-    m = similarity.inclusion_specificity(occ.cooccurrence(own.select("doc_id", "term")))
-    rows = scored.join(m, "term").select("term", tx.term_size("term").alias("size"), F.round("score", 9).alias("tficf"), F.round("inclusion", 9).alias("inclusion"), F.round("specificity", 9).alias("specificity"))
-    return terms.build_term_list(rows, map_size=100, candidates=100, whole=400)
+    scored = similarity.tficf_table(occ.row_frequency(rows.where("lang = 'en'")), occ.row_frequency(rows), total).withColumn("score", F.round("score", 9)).orderBy("score", "term").limit(400)
+    m = similarity.inclusion_specificity(occ.list_cooccurrence(rows, scored.select("term")))
+    out = scored.join(m, "term").select("term", tx.term_size("term").alias("size"), F.col("score").alias("tficf"), F.round("inclusion", 9).alias("inclusion"), F.round("specificity", 9).alias("specificity"))
+    return terms.build_term_list(out, map_size=100, candidates=100, whole=400)

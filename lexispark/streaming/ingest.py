@@ -46,3 +46,23 @@ def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame) -> DataFrame:
+    """Runs an aggregating stream over the files there are and returns its complete result, which each batch writes anew to the folder of checkpoints."""
+    import uuid
+
+    from ..operators.graph import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{epoch}")
+        last[:] = [epoch]
+
+    q = df.writeStream.foreachBatch(step).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], df.schema)
