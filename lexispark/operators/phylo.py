@@ -128,7 +128,7 @@ def pair_similarity(pairs: DataFrame, term_counts: DataFrame, documents: int, se
 
     Term weights are joined to the terms of each pair, so no map of all terms is sent around.
     """
-    p = pairs.withColumn("_p", F.monotonically_increasing_id()) if "_p" not in pairs.columns else pairs
+    p = pairs.withColumn("_p", F.xxhash64("a", "b"))  # equal pairs have one similarity: their sums grow alike
     if sense == 0:
         shared, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
         return p.withColumn("similarity", shared / union).drop("_p")
@@ -275,7 +275,7 @@ def evolving_ladder(scores: list[tuple[float, float]]) -> list[float]:
 
 def weighted_similarity(pairs: DataFrame, term_counts: DataFrame, documents: int, sense: float = 0.5) -> DataFrame:
     """pairs (a, b) with `similarity`: the weight of shared terms over that of the lighter of both."""
-    p = pairs.withColumn("_p", F.monotonically_increasing_id())
+    p = pairs.withColumn("_p", F.xxhash64("a", "b"))  # equal pairs have one similarity: their sums grow alike
     w = term_counts.select("term", inverse_log(F.col("n_docs"), F.lit(documents), sense).alias("w"))
     each = p.select("_p", "a", "b", F.explode(F.array_union("a", "b")).alias("term")).join(w, "term")
     inside = lambda c: F.when(F.array_contains(c, F.col("term")), F.col("w")).otherwise(0.0)

@@ -796,3 +796,6 @@ def list_build_quotas(spark, d):
     m = similarity.inclusion_specificity(occ.list_cooccurrence(rows, scored.select("term")))
     out = scored.join(m, "term").select("term", tx.term_size("term").alias("size"), F.col("score").alias("tficf"), F.round("inclusion", 9).alias("inclusion"), F.round("specificity", 9).alias("specificity"))
     return terms.build_term_list(out, map_size=100, candidates=100, whole=400)
+
+
+from . import catalogue_more  # noqa: E402,F401 - registers its queries

@@ -79,7 +79,7 @@ def tagged_records(spark: SparkSession, path, end: str) -> DataFrame:
 def field_bag(record: Column, pattern: str, joiner: str) -> Column:
     """A map from tag to value: repeated tags are joined. pattern: group 1 the tag, group 2 the text up to the next tag."""
     tags, values = F.regexp_extract_all(record, F.lit(pattern), F.lit(1)), F.regexp_extract_all(record, F.lit(pattern), F.lit(2))
-    pairs = F.arrays_zip(tags.alias("k"), F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s*\n\s*", joiner))).alias("v"))
+    pairs = F.arrays_zip(tags.alias("k"), F.transform(values, lambda v: F.regexp_replace(F.regexp_replace(v, r"^\s+|\s+$", ""), r"\s*\n\s*", joiner)).alias("v"))
     keys = F.array_distinct(tags)
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), joiner)))
 
