@@ -144,3 +144,13 @@ def damerau_udf():
         return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b)], dtype="Int32")
 
     return run
+
+
+def damerau_norm_udf():
+    """1 - distance / longer length; 1 for two empty texts."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else 1 - damerau(x, y) / max(1, len(x), len(y)) for x, y in zip(a, b)], dtype="Float64")
+
+    return run

@@ -45,6 +45,21 @@ def column_sums(m: DataFrame, *, diagonal: bool = True) -> DataFrame:
     return (m if diagonal else off_diagonal(m)).groupBy("j").agg(F.sum("v").alias("v"))
 
 
+def row_minima_sum(m: DataFrame, n: int) -> DataFrame:
+    """The sum of the rows' least cells of an n by n matrix; a row with a missing cell has 0 among its cells."""
+    low = m.groupBy("i").agg(F.min("v").alias("v"), F.count("*").alias("c"))
+    return low.agg(F.coalesce(F.sum(F.when(F.col("c") < n, F.least("v", F.lit(0.0))).otherwise(F.col("v"))), F.lit(0.0)).alias("v"))
+
+
+def column_minima_sum(m: DataFrame, n: int) -> DataFrame:
+    return row_minima_sum(transpose(m), n)
+
+
+def without_place(v: DataFrame, place: int) -> DataFrame:
+    """A vector (i, v) without one element; later ones move up."""
+    return v.where(F.col("i") != place).withColumn("i", F.when(F.col("i") > place, F.col("i") - 1).otherwise(F.col("i")))
+
+
 def total(m: DataFrame) -> DataFrame:
     return m.agg(F.sum("v").alias("v"))
 

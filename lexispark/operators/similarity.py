@@ -87,6 +87,35 @@ def log_distributional(cooc: DataFrame, *, keep_all: bool = False) -> DataFrame:
     return out.join(F.broadcast(floor), F.col("value") > F.col("_floor")).select("x", "y", "value")
 
 
+def _overlap(mi: DataFrame) -> DataFrame:
+    """(x, y, top, mi) of cells (x, y, mi) above 0 off the diagonal: the sums over k of the smaller of mi_xk and mi_yk, found by a join on k."""
+    a, b = mi.select("x", F.col("y").alias("k"), F.col("mi").alias("a")), mi.select(F.col("x").alias("y"), F.col("y").alias("k"), F.col("mi").alias("b"))
+    top = a.join(b, "k").where("x <> y").groupBy("x", "y").agg(F.sum(F.least("a", "b")).alias("top"))
+    return top.join(mi, ["x", "y"], "left").select("x", "y", "top", F.coalesce("mi", F.lit(0.0)).alias("mi"))
+
+
+def distributional(cooc: DataFrame) -> DataFrame:
+    """(x, y, value): with mi_xy = n_xy^2 / (n_xx n_yy), the sum over k other than x, y of the smaller of mi_xk and mi_yk over that of mi_xk; 1 on the diagonal. Cells of 0 are left out."""
+    d = diagonal(cooc)
+    m = mirrored(cooc).join(d.select(F.col("t").alias("x"), F.col("nt").alias("nx")), "x").join(d.select(F.col("t").alias("y"), F.col("nt").alias("ny")), "y")
+    mi = m.select("x", "y", (F.col("n") / F.col("nx") * (F.col("n") / F.col("ny"))).alias("mi"))
+    total = mi.groupBy("x").agg(F.sum("mi").alias("total"))
+    off = _overlap(mi).join(total, "x").select("x", "y", F.coalesce(F.try_divide(F.col("top"), F.col("total") - F.col("mi")), F.lit(0.0)).alias("value")).where("value > 0")
+    return off.unionByName(total.where("total > 0").select("x", F.col("x").alias("y"), F.lit(1.0).alias("value")))
+
+
+def distributional_links(cooc: DataFrame) -> DataFrame:
+    """(x, y, value): the ratio of sums of the smaller positive mutual informations, where it is above the smallest of the columns' maxima and the larger of both directions."""
+    mi = mutual_information(cooc).where("mi > 0")
+    total = mi.groupBy("x").agg(F.sum("mi").alias("total"))
+    r = _overlap(mi).join(total, "x").select("x", "y", F.round(F.coalesce(F.try_divide(F.col("top"), F.col("total") - F.col("mi")), F.lit(0.0)), 12).alias("value"))
+    terms = diagonal(cooc).select(F.col("t").alias("y"))
+    floor = terms.join(r.groupBy("y").agg(F.max("value").alias("m")), "y", "left").agg(F.min(F.coalesce("m", F.lit(0.0))).alias("_floor"))
+    other = r.select(F.col("x").alias("y"), F.col("y").alias("x"), F.col("value").alias("back"))
+    kept = r.join(F.broadcast(floor), F.col("value") > F.col("_floor")).join(other, ["x", "y"], "left")
+    return kept.where(F.col("value") > F.coalesce("back", F.lit(0.0))).select("x", "y", "value")
+
+
 def inclusion_specificity(cooc: DataFrame, terms: int | None = None, *, mode: str = "documented") -> DataFrame:
     """(term, inclusion, specificity) from cells stored once (x >= y).
 
@@ -141,7 +170,7 @@ def nearest_links(cells: DataFrame, k: int) -> DataFrame:
     return cells.where("value > 0").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-SIMILARITIES = {"Conditional": conditional_matrix, "Distributional": log_distributional}
+SIMILARITIES = {"Conditional": conditional_matrix, "Distributional": log_distributional, "DistributionalSquare": distributional, "DistributionalLinks": distributional_links}
 
 
 def similarity_links(cooc: DataFrame, *, measure: str = "Conditional", threshold: float = 0.0, strongest: bool = True) -> DataFrame:

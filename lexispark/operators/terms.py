@@ -132,6 +132,48 @@ def pull(log: DataFrame, version: int) -> DataFrame:
     return since.groupBy("term").agg(F.max_by(F.struct("old_list", "new_list"), "version").alias("p"), F.max("version").alias("version")).select("term", "p.old_list", "p.new_list", "version")
 
 
+def history(log: DataFrame, after: int = 0) -> DataFrame:
+    """The log's patches after a version, newest first; within a version by term."""
+    return log.where(F.col("version") > after).orderBy(F.desc("version"), "term")
+
+
+def state_at(state: DataFrame, log: DataFrame, version: int | None = None) -> DataFrame:
+    """(term, list): a first state (term, list) with the log's patches up to a version; the last one of a term wins, one to null takes it away."""
+    upto = log if version is None else log.where(F.col("version") <= version)
+    last = upto.groupBy("term").agg(F.max_by(F.struct("new_list"), "version").alias("p"))
+    out = state.select("term", "list").join(last, "term", "full").select("term", F.when(F.col("p").isNotNull(), F.col("p.new_list")).otherwise(F.col("list")).alias("list"))
+    return out.where("list IS NOT NULL")
+
+
+def commit(log: DataFrame, patches: DataFrame, base: int) -> tuple[DataFrame, DataFrame, int]:
+    """(new rows of the log, patches the committer lacks, the new version).
+
+    patches (term, old_list, new_list; one a term) were made on version `base` of the log (version, term, old_list, new_list). Where the log has changed a
+    term since, the committer's patch wins and starts from what the log left; patches that then change nothing are left out.
+    """
+    current = log.agg(F.max("version")).first()[0] or 0
+    if base > current:
+        raise ValueError(f"version {base} isn't known yet; the log is at {current}")
+    since = pull(log, base).select("term", F.col("old_list").alias("_o"), F.col("new_list").alias("_n"), F.lit(True).alias("_since"))
+    ours = patches.select("term", "old_list", "new_list")
+    rebased = ours.join(since, "term", "left").withColumn("old_list", F.when(F.col("_since"), F.col("_n")).otherwise(F.col("old_list")))
+    rows = rebased.where(~F.col("old_list").eqNullSafe(F.col("new_list"))).select(F.lit(current + 1).cast("long").alias("version"), "term", "old_list", "new_list")
+    lacking = since.join(ours, "term", "left_anti").select("term", F.col("_o").alias("old_list"), F.col("_n").alias("new_list"))
+    return rows, lacking, current + 1
+
+
+def uploaded(rows: DataFrame) -> DataFrame:
+    """A list's state from uploaded lines (status, label, forms parted by |&|): roots with their size and children, and the children."""
+    kind = F.when(F.lower("status") == "map", "MapTerm").when(F.lower("status") == "stop", "StopTerm").otherwise("CandidateTerm")
+    forms = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("forms", F.lit("")), r"\|&\|"), lambda x: F.trim(x)), lambda x: (x != "") & (x != F.trim("label")))))
+    from ..functions.text import term_size
+
+    r = rows.where(F.trim("label") != "").select(F.trim("label").alias("term"), kind.alias("list"), forms.alias("children"))
+    own = r.select("term", term_size("term").alias("size"), "list", F.lit(None).cast("string").alias("root"), F.lit(None).cast("string").alias("parent"), "children")
+    below = r.select(F.explode("children").alias("c"), "list", "term").select(F.col("c").alias("term"), term_size("c").alias("size"), "list", F.col("term").alias("root"), F.col("term").alias("parent"), F.array().cast("array<string>").alias("children"))
+    return own.unionByName(below)
+
+
 def changed_since(log: DataFrame, version: int) -> bool:
     return not log.where(F.col("version") > version).isEmpty()
 

@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem as stems
 from ..functions import text as tx
 from ..operators import accounts, corpus, counters, graph, matrix, phylo, relations, search, series, similarity, terms, tree
 from ..operators import occurrences as occ
-from ..sources import readers, writers
+from ..sources import readers, services, writers
 from . import adapters as ad
-from .catalogue import CTX, MAP, MATRIX, NODES, TOK, WORDS, _matrix, query
+from .catalogue import CTX, KERNEL, MAP, MATRIX, NODES, TOK, WORDS, _matrix, query
 
 # ---- tables and their changes
 
@@ -674,3 +675,175 @@ def documents_exploded(spark, d):
     s = docs.select("doc_id", F.size(tx.sentences("abstract")).cast("long").alias("n_sentences"))
     parts = readers.exploded(docs).groupBy("doc_id").agg(F.count("*").alias("n_parts"))
     return s.join(parts, "doc_id", "left").na.fill(0, ["n_parts"])
+
+
+# ---- answers of services, taken apart
+
+
+def _escaped(c):
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+#: Characters that XML can't hold are left out of the texts given to it.
+PLAIN_TEXT = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _plain(spark, d):
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), r"\s+", " "))
+    return ad.read(spark, d, "documents").select("doc_id", "source", (F.lit(1990) + F.col("doc_id") % 30).cast("string").alias("year"), text.alias("text")).where("text <> ''")
+
+
+def _tags(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+SERVICE = "SELECT {bdd} AS bdd, 'Title <' || doc_id || '>' AS title, sha256(x) AS hash, {source} AS source, 'Ann Lee, Bo Li' AS authors, {date} AS publication_date FROM (SELECT *, " + PLAIN_TEXT + " AS x, 1990 + doc_id % 30 AS y FROM documents) WHERE x <> ''"
+
+
+def _read(answers, service):
+    return services.documents(answers, service).select("bdd", "title", F.sha2("abstract", 256).alias("hash"), "source", "authors", "publication_date")
+
+
+@query(SERVICE.format(bdd="'PubMed'", source="source", date="y || '-02-01'"))
+def service_pubmed(spark, d):
+    """Answers with two authors and a date of year and month, parsed as documents."""
+    p = _plain(spark, d)
+    author = lambda a, b: f"<Author><LastName>{b}</LastName><ForeName>{a}</ForeName></Author>"
+    answer = _tags("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>", F.col("doc_id").cast("string"), "</PMID><Article><Journal><Title>", F.col("source"), "</Title></Journal><ArticleTitle>Title &lt;", F.col("doc_id").cast("string"), "&gt;</ArticleTitle><Abstract><AbstractText>", _escaped(F.col("text")), "</AbstractText></Abstract><AuthorList>" + author("Ann", "Lee") + author("Bo", "Li") + "</AuthorList><ArticleDate><Year>", F.col("year"), "</Year><Month>02</Month></ArticleDate></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>")
+    return _read(p.select(answer.alias("answer")), "pubmed")
+
+
+@query(SERVICE.format(bdd="'Arxiv'", source="'Arxiv'", date="y || '-03-04'"))
+def service_arxiv(spark, d):
+    p = _plain(spark, d)
+    answer = _tags("<feed><entry><id>http://x/", F.col("doc_id").cast("string"), "</id><title>Title &lt;", F.col("doc_id").cast("string"), "&gt;</title><summary>", _escaped(F.col("text")), "</summary><published>", F.col("year"), "-03-04T10:00:00Z</published><author><name>Ann Lee</name></author><author><name>Bo Li</name></author></entry></feed>")
+    return _read(p.select(answer.alias("answer")), "arxiv")
+
+
+def _title():
+    return F.concat(F.lit("Title <"), F.col("doc_id").cast("string"), F.lit(">"))
+
+
+@query(SERVICE.format(bdd="'Hal'", source="source", date="y || '-05-06'"))
+def service_hal(spark, d):
+    docs = F.struct(F.array(_title()).alias("title_s"), F.array("text").alias("abstract_s"), F.col("source").alias("source_s"), F.array(F.lit("Ann Lee"), F.lit("Bo Li")).alias("authFullName_s"), F.concat("year", F.lit("-05-06 10:00:00")).alias("submittedDate_s"))
+    return _read(_plain(spark, d).select(F.to_json(F.struct(F.struct(F.array(docs).alias("docs")).alias("response"))).alias("answer")), "hal")
+
+
+@query(SERVICE.format(bdd="'Istex'", source="source", date="y || '-01-01'"))
+def service_istex(spark, d):
+    person = lambda n: F.struct(F.lit(n).alias("name"), F.array(F.lit("Lab")).alias("affiliations"))
+    hit = F.struct(F.col("doc_id").cast("string").alias("id"), _title().alias("title"), F.col("text").alias("abstract"), F.array(person("Ann Lee"), person("Bo Li")).alias("author"), F.col("year").alias("publicationDate"), F.struct(F.col("source").alias("title")).alias("host"))
+    return _read(_plain(spark, d).select(F.to_json(F.struct(F.lit(1).alias("total"), F.array(hit).alias("hits"))).alias("answer")), "istex")
+
+
+@query(SERVICE.format(bdd="'Isidore'", source="source", date="y || '-07-08'"))
+def service_isidore(spark, d):
+    doc = F.struct(F.struct(_title().alias("title"), F.col("text").alias("abstract"), F.array(F.lit("Ann Lee"), F.lit("Bo Li")).alias("creators"), F.concat("year", F.lit("-07-08")).alias("date"), "source").alias("isidore"))
+    nested = F.struct(F.struct(F.struct(F.struct(F.array(doc).alias("reply")).alias("content")).alias("replies")).alias("response"))
+    return _read(_plain(spark, d).select(F.to_json(nested).alias("answer")), "isidore")
+
+
+@query("SELECT 'u' || doc_id AS uri, CASE WHEN doc_id % 2 = 0 THEN source END AS label FROM documents")
+def graph_query_rows(spark, d):
+    """Rows of answers to graph queries; optional names are null where they are missing."""
+    value = lambda c: F.struct(F.lit("literal").alias("type"), c.alias("value"))
+    one = F.map_from_entries(F.filter(F.array(F.struct(F.lit("uri"), value(F.concat(F.lit("u"), F.col("doc_id").cast("string")))), F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("label"), value(F.col("source"))))), lambda e: e.isNotNull()))
+    answers = ad.read(spark, d, "documents").select(F.to_json(F.struct(F.struct(F.array(one).alias("bindings")).alias("results"))).alias("answer"))
+    return services.bindings(answers, "uri", "label")
+
+
+# ---- commits of lists, similarities of the dense kernels, small kits
+
+LOG = "lg AS (SELECT event_id AS version, 'u' || user_id AS term, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old_list, event_type AS new_list FROM events)"
+
+
+def _log(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return ad.read(spark, d, "events").select(F.col("event_id").alias("version"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("term"), F.lag("event_type").over(w).alias("old_list"), F.col("event_type").alias("new_list"))
+
+
+OURS = "m AS (SELECT max(version) AS v FROM lg), ours AS (SELECT DISTINCT 'u' || user_id AS term, NULL AS old_list, 'view' AS new_list FROM events WHERE user_id % 3 = 0), since AS (SELECT term, arg_max(new_list, version) AS n, arg_max(coalesce(old_list, '-'), version) AS o FROM lg WHERE version > (SELECT v // 2 FROM m) GROUP BY term)"
+
+
+def _commit(spark, d):
+    log = _log(spark, d)
+    ours = ad.read(spark, d, "events").where("user_id % 3 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("term"), F.lit(None).cast("string").alias("old_list"), F.lit("view").alias("new_list")).distinct()
+    return terms.commit(log, ours, log.agg(F.max("version")).first()[0] // 2)
+
+
+@query(f"WITH {LOG}, {OURS} SELECT (SELECT v FROM m) + 1 AS version, term, n AS old_list, 'view' AS new_list FROM ours LEFT JOIN since USING (term) WHERE n IS DISTINCT FROM 'view'")
+def list_commit(spark, d):
+    """A commit on the middle version of a log: where others changed a term since, the committer's patch wins from what they left."""
+    return _commit(spark, d)[0]
+
+
+@query(f"WITH {LOG}, {OURS} SELECT term, nullif(o, '-') AS old_list, n AS new_list FROM since WHERE term NOT IN (SELECT term FROM ours)")
+def list_commit_lacking(spark, d):
+    """What the committer lacks of the others' changes."""
+    return _commit(spark, d)[1]
+
+
+@query(f"WITH {LOG} SELECT term, arg_max(new_list, version) AS list FROM lg WHERE version <= 500 GROUP BY term")
+def list_state_at(spark, d):
+    return terms.state_at(spark.createDataFrame([], "term string, list string"), _log(spark, d), 500)
+
+
+@query(f"WITH {LOG} SELECT version, term, old_list, new_list FROM lg WHERE version > 5")
+def list_history(spark, d):
+    return terms.history(_log(spark, d), 5)
+
+
+@query("SELECT l AS term, (length(l) - length(replace(l, ' ', '')) + 1)::INT AS size, CASE p_size % 3 WHEN 0 THEN 'MapTerm' WHEN 1 THEN 'StopTerm' ELSE 'CandidateTerm' END AS list, NULL AS root FROM (SELECT p_name || ' ' || p_partkey AS l, p_size FROM part) UNION ALL SELECT 'form ' || p_partkey, 2, CASE p_size % 3 WHEN 0 THEN 'MapTerm' WHEN 1 THEN 'StopTerm' ELSE 'CandidateTerm' END, p_name || ' ' || p_partkey FROM part")
+def list_uploaded(spark, d):
+    p = ad.read(spark, d, "part")
+    status = F.when(F.col("p_size") % 3 == 0, "map").when(F.col("p_size") % 3 == 1, "stop").otherwise("main")
+    label = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    rows = p.select(status.alias("status"), label.alias("label"), F.concat(label, F.lit("|&|form "), F.col("p_partkey").cast("string")).alias("forms"))
+    return terms.uploaded(rows).select("term", F.col("size").cast("int").alias("size"), "list", "root")
+
+
+@query(f"""WITH {TOK}, {KERNEL}, mi AS (SELECT x, y, n / a.nt * (n / b.nt) AS mi FROM off JOIN diag a ON a.t = x JOIN diag b ON b.t = y), tot AS (SELECT x, sum(mi) AS total FROM mi GROUP BY x),
+top AS (SELECT a.x, b.x AS y, sum(least(a.mi, b.mi)) AS top FROM mi a JOIN mi b ON a.y = b.y AND a.x <> b.x GROUP BY ALL), r AS (SELECT x, y, top / nullif(total - coalesce(mi, 0), 0) AS v FROM top JOIN tot USING (x) LEFT JOIN mi USING (x, y))
+SELECT x, y, round(v, 6) AS value FROM r WHERE v > 0 UNION ALL SELECT x, x, 1 FROM tot WHERE total > 0""")
+def distributional_square(spark, d):
+    return similarity.distributional(ad.map_cooc(spark, d, ad.KERNEL_TERMS)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {TOK}, {KERNEL}, s AS (SELECT x, sum(n) AS s FROM off GROUP BY x), mi AS (SELECT x, y, ln((SELECT sum(s) FROM s) * n / (a.s * b.s)) AS mi FROM off JOIN s a USING (x) JOIN (SELECT x AS y, s FROM s) b USING (y) WHERE ln((SELECT sum(s) FROM s) * n / (a.s * b.s)) > 0), tot AS (SELECT x, sum(mi) AS total FROM mi GROUP BY x),
+top AS (SELECT a.x, b.x AS y, sum(least(a.mi, b.mi)) AS top FROM mi a JOIN mi b ON a.y = b.y AND a.x <> b.x GROUP BY ALL), r AS (SELECT x, y, round(coalesce(top / nullif(total - coalesce(mi, 0), 0), 0), 12) AS v FROM top JOIN tot USING (x) LEFT JOIN mi USING (x, y)),
+f AS (SELECT min(coalesce(m, 0)) AS f FROM diag LEFT JOIN (SELECT y AS t, max(v) AS m FROM r GROUP BY y) USING (t)) SELECT a.x, a.y, round(a.v, 6) AS value FROM r a LEFT JOIN r b ON a.x = b.y AND a.y = b.x, f WHERE a.v > f AND a.v > coalesce(b.v, 0)""")
+def distributional_links(spark, d):
+    return similarity.distributional_links(ad.map_cooc(spark, d, ad.KERNEL_TERMS)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {MATRIX}, r AS (SELECT i, min(v) AS v, count(*) AS c FROM m GROUP BY i), q AS (SELECT j, min(v) AS v, count(*) AS c FROM m GROUP BY j) SELECT round((SELECT sum(CASE WHEN c < 25 THEN least(v, 0) ELSE v END) FROM r), 2) AS rows, round((SELECT sum(CASE WHEN c < 25 THEN least(v, 0) ELSE v END) FROM q), 2) AS columns")
+def matrix_minima(spark, d):
+    m = _matrix(spark, d)
+    r, c = matrix.row_minima_sum(m, 25).select(F.round("v", 2).alias("rows")), matrix.column_minima_sum(m, 25).select(F.round("v", 2).alias("columns"))
+    return r.crossJoin(c)  # two single rows
+
+
+@query(f"WITH {MATRIX} SELECT CASE WHEN i > 7 THEN i - 1 ELSE i END AS i, round(sum(v), 2) AS v FROM m WHERE i <> 7 GROUP BY 1")
+def vector_without_place(spark, d):
+    return matrix.without_place(matrix.row_sums(_matrix(spark, d)), 7).select("i", F.round("v", 2).alias("v"))
+
+
+@query("SELECT p_partkey, round(1 - damerau_levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 9) AS norm FROM part")
+def damerau_norms(spark, d):
+    return ad.read(spark, d, "part").select("p_partkey", F.round(stems.damerau_norm_udf()("p_name", "p_type"), 9).alias("norm"))
+
+
+@query("SELECT event_id, sha256(props) AS hash FROM events")
+def hashed_answers(spark, d):
+    h = writers.hashed("props")
+    return ad.read(spark, d, "events").select("event_id", h["hash"].alias("hash"))
+
+
+@query(f"WITH {FLAT} SELECT sha256(title || ' ' || abstract) AS hash FROM g")
+def csv_columns_joined(spark, d):
+    path = _folder(spark, "csv")
+    writers.write_csv(_flat(spark, d), path)
+    return readers.read_csv_columns(spark, path, ["title", "abstract"]).select(F.sha2("text", 256).alias("hash"))

@@ -22,10 +22,12 @@ def istex_query(query: str, lang: str = "en") -> str:
     return query if ":" in query else f'language:"{lang}" AND abstract:({query})'
 
 
-def read_pages(spark: SparkSession, fetch: Callable[[str, int, int], list[dict]], query: str, *, service: str = "pubmed", limit: int | None = None, total: int = 10_000) -> DataFrame:
-    """Documents of a paged service; `limit` bounds them by the service's own order."""
+def read_pages(spark: SparkSession, fetch: Callable[[str, int, int], list[dict]], query: str, *, service: str = "pubmed", limit: int | None = None, total: int | None = None) -> DataFrame:
+    """Documents of a paged service: `total` is the number of hits that it states, `limit` bounds them by its own order. One of both is needed."""
     size = PAGE_SIZES.get(service, 100)
-    wanted = min(total, limit) if limit is not None else total
+    if total is None and limit is None:
+        raise ValueError("give the service's number of hits (total), or a limit")
+    wanted = min(x for x in (total, limit) if x is not None)
     pages = min(-(-wanted // size), MAX_PAGES.get(service, 1 << 30))
     names = [f.name for f in DOCUMENT]
 

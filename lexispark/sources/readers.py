@@ -49,6 +49,11 @@ def read_csv(spark: SparkSession, path) -> DataFrame:
     return as_documents(df, title=c("title"), source=c("source"), abstract=c("abstract"), authors=c("authors"), bdd=F.lit("CSV"), **with_date(c("publication_year"), c("publication_month"), c("publication_day")))
 
 
+def read_csv_columns(spark: SparkSession, path, columns: list[str]) -> DataFrame:
+    """(text): the chosen fields of each row of a corpus CSV, joined by spaces."""
+    return read_csv(spark, path).select(F.concat_ws(" ", *columns).alias("text"))
+
+
 def read_csv_hal(spark: SparkSession, path) -> DataFrame:
     df = _csv(spark, path, HAL_COLUMNS, "\t")
     c = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")

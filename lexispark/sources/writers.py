@@ -79,6 +79,29 @@ def gexf(nodes: DataFrame, edges: DataFrame, *, most: int = 200_000) -> str:
     return "\n".join([*out, "</edges></graph></gexf>"])
 
 
+def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lines (value) of a graph of any size as GEXF 1.3, in order: written as text, the parts in a row are the file."""
+    def quoted(c):
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(plain), F.lit(entity))
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    spark = nodes.sparkSession
+    frame = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<gexf xmlns="http://www.gexf.net/1.3" version="1.3"><graph mode="static" defaultedgetype="undirected"><nodes>'), (3, "</nodes><edges>"), (5, "</edges></graph></gexf>")]
+    fixed = spark.createDataFrame([(a, "", "", v) for a, v in frame], "part int, a string, b string, value string")
+    node = F.concat(F.lit("<node id="), quoted("id"), F.lit(" label="), quoted("label"), F.lit("><size value="), quoted("size"), F.lit("/></node>"))
+    edge = F.concat(F.lit("<edge id="), F.concat(F.lit('"'), F.abs(F.xxhash64("src", "dst")).cast("string"), F.lit('"')), F.lit(" source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(" weight="), quoted("weight"), F.lit("/>"))
+    rows = nodes.select(F.lit(2).alias("part"), F.lpad(F.col("id").cast("string"), 20, "0").alias("a"), F.lit("").alias("b"), node.alias("value"))
+    rows = rows.unionByName(edges.select(F.lit(4).alias("part"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), edge.alias("value")))
+    return rows.unionByName(fixed).orderBy("part", "a", "b").select("value")
+
+
+def hashed(payload: str):
+    """(hash, value) of a JSON payload, as answers carry them so that a client can tell whether they changed."""
+    return F.struct(F.sha2(F.col(payload), 256).alias("hash"), F.col(payload).alias("value"))
+
+
 def dot(groups: DataFrame, links: DataFrame, *, most: int = 200_000) -> str:
     """A temporal graph as DOT: groups (id, first, label), links (src, dst, similarity)."""
     q = lambda x: '"' + str(x).replace("\\", "\\\\").replace('"', '\\"') + '"'

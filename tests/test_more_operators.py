@@ -161,3 +161,82 @@ def test_endpoints(spark):
         api.document_table(c, links, "Other")
     docs = spark.createDataFrame([(1, "running dogs", "en"), (2, None, "en"), (3, "le chien", "fr")], "doc_id long, text string, lang string")
     assert [r.doc_id for r in api.search_documents(docs, "dog runs").collect()] == [1]
+
+
+def test_distributional_goldens(spark):
+    """Three and four terms: published values of the definition."""
+    from lexispark.operators import similarity
+
+    def cells(m):
+        rows = [(f"t{i}", f"t{j}", m[i][j]) for i in range(len(m)) for j in range(i + 1) if m[i][j]]
+        got = {(r.x, r.y): r.value for r in similarity.distributional(spark.createDataFrame(rows, "x string, y string, n long")).collect()}
+        return [[got.get((f"t{i}", f"t{j}"), 0.0) for j in range(len(m))] for i in range(len(m))]
+
+    assert cells([[7, 4, 0], [4, 5, 3], [0, 3, 4]]) == [pytest.approx(r) for r in ([1, 0, 0.984375], [0, 1, 0], [1, 0, 1])]
+    want = ([1, 0, 0.5714285714, 0.8421052632], [0, 1, 1, 1], [0.0833333333, 0.046875, 1, 0.25], [0.3333333333, 0.0576923077, 1, 1])
+    assert cells([[4, 1, 2, 1], [1, 4, 0, 0], [2, 0, 3, 3], [1, 0, 3, 3]]) == [pytest.approx(r) for r in want]
+
+
+def test_commit_against_a_newer_log(spark):
+    from lexispark.operators import terms
+
+    schema = "version long, term string, old_list string, new_list string"
+    log = spark.createDataFrame([(1, "a", None, "MapTerm"), (2, "b", None, "MapTerm"), (3, "a", "MapTerm", "StopTerm")], schema)
+    ours = spark.createDataFrame([("a", "MapTerm", "CandidateTerm"), ("c", None, "MapTerm")], "term string, old_list string, new_list string")
+    rows, lacking, version = terms.commit(log, ours, 1)
+    assert version == 4 and {tuple(r) for r in rows.collect()} == {(4, "a", "StopTerm", "CandidateTerm"), (4, "c", None, "MapTerm")}
+    assert [tuple(r) for r in lacking.collect()] == [("b", None, "MapTerm")]
+    none = spark.createDataFrame([], "term string, list string")
+    assert {tuple(r) for r in terms.state_at(none, log.union(rows)).collect()} == {("a", "CandidateTerm"), ("b", "MapTerm"), ("c", "MapTerm")}
+    assert {tuple(r) for r in terms.state_at(none, log, 2).collect()} == {("a", "MapTerm"), ("b", "MapTerm")}
+    assert terms.commit(log, ours.where("term = 'zz'"), 3)[0].count() == 0
+    with pytest.raises(ValueError, match="isn't known"):
+        terms.commit(log, ours, 9)
+
+
+def test_trees_with_cycles_are_an_error(spark):
+    from lexispark.operators import tree
+
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "id string, parent_id string")
+    assert {(r.id, r.depth) for r in tree.descendants(nodes, nodes.where("id = 'a'").select("id")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    with pytest.raises(ValueError, match="cycle"):
+        tree.descendants(nodes, nodes.where("id = 'x'").select("id"), most=5)
+    with pytest.raises(ValueError, match="cycle"):
+        tree.ancestors(nodes, nodes.where("id = 'y'").select("id"), most=5)
+
+
+def test_long_forms_and_long_paths(spark):
+    """No bound on words of a form, or on the length of a chain of edges."""
+    from lexispark.operators import extraction, graph
+
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"before {words}, after"), (2, "w0 w1"), (3, None), (4, "")], "doc_id long, text string")
+    forms = spark.createDataFrame([("long", words), ("short", "w0 w1"), ("one", "w1")], "label string, form string")
+    got = {tuple(r) for r in extraction.match_dictionary(docs, forms).collect()}
+    assert got == {(1, "long", 1), (1, "one", 1), (2, "short", 1), (2, "one", 1)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long")
+    assert {tuple(r) for r in graph.components(chain).collect()} == {(i, 0) for i in range(301)}
+
+
+def test_services_with_several_records(spark):
+    from lexispark.sources import services
+
+    entry = lambda k: f"<entry><id>u{k}</id><title> T\n {k} </title><summary>S {k}</summary><published>2001-02-03T00:00:00Z</published><author><name>A</name></author></entry>"
+    answers = spark.createDataFrame([(f"<feed>{entry(1)}{entry(2)}</feed>",), ("<feed></feed>",), ("no answer",), (None,)], "answer string")
+    rows = sorted(services.documents(answers, "arxiv").collect(), key=lambda r: r.url)
+    assert [(r.url, r.title, r.abstract, r.publication_year, r.publication_month) for r in rows] == [("u1", "T 1", "S 1", 2001, 2), ("u2", "T 2", "S 2", 2001, 2)]
+    with pytest.raises(ValueError, match="unknown service"):
+        services.documents(answers, "none")
+    assert 'contains(?title, "a \\"b")' in services.isidore_query('a "b', 5) and "wd:Q42" in services.wikidata_query("Q42", 3)
+
+
+def test_graph_file_of_any_size(spark):
+    from xml.etree import ElementTree
+
+    from lexispark.sources import writers
+
+    nodes = spark.createDataFrame([(i, f'<"{i}">&', i) for i in range(30)], "id long, label string, size long")
+    edges = spark.createDataFrame([(i, i + 1, 0.5) for i in range(29)], "src long, dst long, weight double")
+    root = ElementTree.fromstring("\n".join(r.value for r in writers.gexf_lines(nodes.repartition(5), edges).collect()).split("?>", 1)[1])
+    space = "{http://www.gexf.net/1.3}"
+    assert [n.get("label") for n in root.iter(f"{space}node")] == [f'<"{i}">&' for i in range(30)] and len(list(root.iter(f"{space}edge"))) == 29
