@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -21,8 +22,9 @@ from ..sources.splits import read_spread
 
 #: Spark's setting to delete shuffle files at the end of an execution.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows and bytes that an operator is given at once. Spark closes an Arrow batch at maxRecordsPerBatch rows or
-#: maxBytesPerBatch bytes (64 MB); tasks cut these batches further, so no operator depends on the session's settings.
+#: Spark's setting of the rows of an Arrow batch. It closes a batch at 64 MB in any case.
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that an operator is given at once. Tasks cut the batches that Spark sends, so no operator depends on the session's settings.
 TEXT_BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
@@ -48,6 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+@contextlib.contextmanager
+def running(spark: SparkSession, rows: int = 0, **more: str) -> Iterator[None]:
+    """Settings of what is run within: small Arrow batches, so that the JVM holds little as well. The session has its own again after that."""
+    wanted = {BATCH_SETTING: str(rows or TEXT_BATCH_ROWS), **more}
+    given = spark.conf.getAll
+    held = {k: given.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def collected(df: DataFrame, rows: int = 0) -> list:
+    """The rows of a small result, its plan run with batches of so many rows."""
+    with running(df.sparkSession, rows):
+        return df.collect()
+
+
 #: Open scopes, innermost last; each lists the tables staged within it.
 _scopes: list[list[Staged]] = []
 
@@ -72,20 +95,22 @@ class Staged:
     end of the session, whose file system deletes it.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, rows: int = 0):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         if _scopes:
             _scopes[-1].append(self)
-        held = self.spark.conf.get(SHUFFLE_CLEANUP, None)
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table takes the place of the shuffle files that made it
-        try:
+        with running(self.spark, rows, **{SHUFFLE_CLEANUP: "true"}):  # the table takes the place of the shuffle files that made it
             df.write.parquet(self.path)
-        finally:
-            self.spark.conf.unset(SHUFFLE_CLEANUP) if held is None else self.spark.conf.set(SHUFFLE_CLEANUP, held)
         system, path = self._file()
         system.deleteOnExit(path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df._lexispark_staged = self
+
+    @classmethod
+    def of(cls, df: DataFrame, label: str) -> Staged:
+        """The table that df reads, where df is that of a staged table as it is; a new one otherwise."""
+        return df.__dict__.get("_lexispark_staged") or cls(df, label)
 
     def _file(self):
         sc = self.spark.sparkContext
@@ -155,12 +180,21 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
         out = step.finish() if hasattr(step, "finish") else None
         if out is not None:
             yield table(out)
+        del step, out
+        give_back()
 
     return df.mapInArrow(run, target)
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: workers live on from task to task and stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def count_of(df: DataFrame) -> int:
-    return df.agg(F.count(F.lit(1))).first()[0]
+    return collected(df.agg(F.count(F.lit(1))))[0][0]
 
 
 #: Ids that may be broadcast (16 bytes each at most); more are joined by a shuffle.
@@ -202,7 +236,7 @@ def total_of(parts: DataFrame, dtype: str, tasks: int = 8) -> dict[int, np.ndarr
     if given > SUMMED:  # sums of sums: no task reads more than so many parts of a key
         salts = -(-given // SUMMED)
         parts = add(parts.withColumn("_salt", F.spark_partition_id() % salts), min(4096, tasks * salts), "key", "_salt")
-    rows = add(parts, tasks, "key").collect()
+    rows = collected(add(parts, tasks, "key"), 64)
     return {r["key"]: np.frombuffer(r["data"], dtype=dtype) for r in rows}
 
 

@@ -250,7 +250,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Staged:
 
         return step
 
-    out = Staged(arrow_rows(both, decide, "a long, b long, linked boolean, distance double", batch_rows=100), "compared")
+    out = Staged(arrow_rows(both, decide, "a long, b long, linked boolean, distance double", batch_rows=100), "compared", rows=100)
     known.drop()
     pairs.drop()
     return out
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     count = max(8, int(whole * (100 - percent) / 100 / BLOCK_POSTINGS) + 1)
     member = named.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), "n", F.col("rep").alias("r")).distinct()
     columns = shared_columns(postings(docs, sketch, n, percent, count), count)
-    table = keep(Staged(columns.join(member, "d").groupBy("h", "r", "n").agg(F.max("f").alias("f")), "columns")).df
+    table = keep(Staged(columns.join(member, "d").groupBy("h", "r", "n").agg(F.max("f").alias("f")), "columns", rows=32)).df  # rows of blocks are large
     # first run: each row with the hubs of its columns
     hubs = table.groupBy("h").agg(F.min(F.struct("r", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
     starred = table.join(hubs, "h").select(F.col("hub.r").alias("a"), F.col("hub.n").alias("na"), F.col("r").alias("b"), F.col("n").alias("nb")).where("a <> b")

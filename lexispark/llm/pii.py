@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import Staged, arrow_rows
 from .secrets import clear_of, join
 
 KINDS = ("email", "ip", "card", "phone", "name", "address")
@@ -437,7 +437,7 @@ def personal_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def mask_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every found span of text replaced by its kind in angle brackets; n_chars, where there is one, follows.
 
-    Rows, their order of columns and all other columns stay. A null text stays null.
+    Rows, their order of columns and all other columns stay. A null text stays null. The result waits in the shared folder.
     """
     field = field or default_field()
     columns = docs.columns
@@ -466,4 +466,5 @@ def mask_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
         return step
 
     masked = arrow_rows(docs, make, docs.schema)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else masked
+    masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else masked
+    return Staged(masked, "masked").df

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, arrow_rows
+from .common import Staged, arrow_rows, collected
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
     ratio = 2 * (part(a, t * n1 / (n1 + n0)) + part(b, t * n0 / (n1 + n0)) + part(n1 - a, n1 - t * n1 / (n1 + n0)) + part(n0 - b, n0 - t * n0 / (n1 + n0)))
     one_sided = ((a * n0 > b * n1 * 3) & (a >= 2)) | ((b * n1 > a * n0 * 3) & (b >= 2))
     best = seen.where(one_sided).withColumn("g", F.round(ratio, 9)).where(F.col("g") >= min_ratio).orderBy(F.desc("g"), "term")
-    vocabulary = {r["term"]: i for i, r in enumerate(best.select("term").collect(), 1)}  # terms of the examples only
+    vocabulary = {r["term"]: i for i, r in enumerate(collected(best.select("term")), 1)}  # terms of the examples only
     total, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + df)) + 1.0
     idf[0] = 1.0
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
         return step
 
     kind = dict(sample.dtypes)[id_col]
-    rows = sorted(arrow_rows(sample, second, f"id {kind}, y int, terms array<long>, weights array<double>").collect(), key=lambda r: r["id"])
+    rows = sorted(collected(arrow_rows(sample, second, f"id {kind}, y int, terms array<long>, weights array<double>")), key=lambda r: r["id"])
     staged.drop()
     y = np.array([r["y"] for r in rows], dtype=np.float64)
     ids = np.array([r["id"] for r in rows])
@@ -300,7 +300,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
         step.finish = finish
         return step
 
-    rows = arrow_rows(docs.select("text"), make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term at most
+    rows = collected(arrow_rows(docs.select("text"), make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))  # a row a term at most
     df = np.zeros(n + 1)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", thres
 
 
 def without_toxic(docs: DataFrame, model: Model | None, *, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs (all columns, in order) whose text scores below the threshold; decided row by row, without a join."""
+    """The rows of docs (all columns, in order) whose text scores below the threshold; decided row by row, without a join. They wait in the shared folder."""
     columns = docs.columns
     at = columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -368,7 +368,7 @@ def without_toxic(docs: DataFrame, model: Model | None, *, threshold: float = 0.
 
         return step
 
-    return arrow_rows(docs, make, docs.schema)
+    return Staged(arrow_rows(docs, make, docs.schema), "clean").df
 
 
 def held_out(id_col: str = "doc_id"):
