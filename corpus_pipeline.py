@@ -69,7 +69,7 @@ def run_over(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     last = None
     for name, stage in STAGES:
         with staging():
-            new = Staged(stage(spark, docs, sf_dir), f"stage-{name}")
+            new = Staged.of(stage(spark, docs, sf_dir), f"stage-{name}")
             new.keep()
         if last is not None:
             last.drop()
