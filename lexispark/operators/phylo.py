@@ -310,6 +310,26 @@ def diamonds(links: DataFrame) -> DataFrame:
     return down.join(up, "mid").groupBy("parent", "child").agg(F.array_sort(F.collect_set("mid")).alias("between")).where(F.size("between") > 1)
 
 
+def diamond_counts(down: DataFrame, up: DataFrame) -> DataFrame:
+    """(parent, child, n) with n > 1: groups between two others, counted. down: parent, mid; up: mid, child (numbers or strings); rows may repeat.
+
+    Groups with the same children are one class. A parent's groups are counted by class, and children are set beside these counts,
+    not beside each group. One shuffle of `down` deals it by parent; tables of classes are sent around only if they are few.
+    """
+    from .graph import checkpoint_dir
+    from .occurrences import small
+
+    checkpoint_dir(up.sparkSession)
+    hint = lambda df: F.broadcast(df) if small(df) else df
+    sets = up.where("mid IS NOT NULL").select("mid", "child").distinct().groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("child"))).alias("children"))
+    sets = sets.withColumn("same", F.sha2(F.to_json("children"), 256)).checkpoint()
+    classes = sets.groupBy("same").agg(F.min("mid").alias("class"), F.first("children").alias("children")).checkpoint()
+    own = sets.select("mid", "same").join(hint(classes.select("same", "class")), "same").select("mid", "class")
+    n = down.select("parent", "mid").join(hint(own), "mid").repartition("parent").groupBy("parent", "class").agg(F.countDistinct("mid").alias("n"))
+    pairs = n.join(hint(classes.select("class", "children")), "class").select("parent", F.explode("children").alias("c"), "n").select("parent", "c.child", "n")
+    return pairs.groupBy("parent", "child").agg(F.sum("n").alias("n")).where("n > 1")
+
+
 def term_scores(group: DataFrame, cooc: DataFrame) -> DataFrame:
     """(id, term, genericity, specificity, inclusion) of terms within their group: conditional sums over its other terms, over their number + 1."""
     each = group.select("id", F.explode("terms").alias("x"), "terms")

@@ -519,10 +519,9 @@ SELECT 'c' || parent AS parent, 'p' || child AS child, count(*) AS n FROM d JOIN
 def graph_diamonds(spark, d):
     """Customers and groups of parts with two suppliers or more between them."""
     j = ad.read(spark, d, "lineitem").join(ad.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    down = j.select(name("c", F.col("o_custkey")).alias("src"), name("s", F.col("l_suppkey")).alias("dst")).distinct()
-    up = j.select(name("s", F.col("l_suppkey")).alias("src"), name("p", F.col("l_partkey") % 50).alias("dst")).distinct()
-    return phylo.diamonds(down.union(up)).select("parent", "child", F.size("between").cast("long").alias("n"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias(c)
+    j = j.select(F.col("o_custkey").alias("parent"), F.col("l_suppkey").alias("mid"), (F.col("l_partkey") % 50).alias("child"))
+    return phylo.diamond_counts(j, j).select(name("c", "parent"), name("p", "child"), "n")
 
 
 @query("SELECT (1992 + 2 * ((year(o_orderdate) - 1992) // 2))::INT AS first, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1992 AND 1997 GROUP BY 1")

@@ -1,5 +1,7 @@
 """Matrices, accounts, counters, series, classifiers, endpoints and the rest of the temporal operators on small fixtures."""
 
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,27 @@ def test_bridges_and_confluence(spark):
     assert set(n for (n,) in label) == {1, 2, 3, 4, 5}
 
 
+def test_diamond_counts(spark, monkeypatch):
+    """Equal to the pairs made group by group, with nulls and repeated rows; classes are set beside a parent once."""
+    import random
+
+    from lexispark.operators import occurrences
+
+    r = random.Random(5)
+    down = [(r.choice([1, 2, 3, None]), r.choice([*range(9), None])) for _ in range(60)]
+    up = [(m, c) for m in [*range(12), None] for c in ([7, 8, None] if (m or 0) % 2 else [8, 9, 10]) for _ in range(2)]
+    mids = defaultdict(set)
+    for p, m in down:
+        for k, c in up:
+            if m is not None and m == k:
+                mids[p, c].add(m)
+    want = {(p, c, len(s)) for (p, c), s in mids.items() if len(s) > 1}
+    frames = [spark.createDataFrame(down, "parent long, mid long"), spark.createDataFrame(up, "mid long, child long")]
+    assert want and {tuple(x) for x in phylo.diamond_counts(*frames).select("parent", "child", "n").collect()} == want
+    monkeypatch.setattr(occurrences, "small", lambda *a: False)
+    assert {tuple(x) for x in phylo.diamond_counts(*frames).select("parent", "child", "n").collect()} == want
+
+
 def test_more_phylo(spark):
     cooc = spark.createDataFrame([("a", "a", 4), ("b", "b", 2), ("c", "c", 3), ("b", "a", 2), ("c", "a", 1)], "x string, y string, n long")
     g = spark.createDataFrame([("1", 1, 3, ["a", "b", "c"], "x"), ("2", 4, 6, ["a", "b"], "x"), ("3", 7, 9, ["a", "c"], "y")], "id string, first int, last int, terms array<string>, branch string")
