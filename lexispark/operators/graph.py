@@ -184,13 +184,44 @@ def cliques_of(pairs: list[tuple], candidates: set | None = None, before: set |
     return out
 
 
+#: Pairs for each item of the baskets up to which all their pairs are counted.
+PAIRS = 8
+
+
 def frequent_itemsets(baskets: DataFrame, items: str, least: int) -> DataFrame:
-    """(items, freq): sets of items in at least so many baskets, by FP-growth, without those a larger set of equal count holds."""
-    from pyspark.ml.fpm import FPGrowth
+    """(items, freq): sets of items in at least so many baskets, without those a larger set of equal count holds.
 
-    n = max(1, baskets.count())
-    sets = FPGrowth(itemsCol=items, minSupport=max(0.0, (least - 0.5) / n)).fit(baskets).freqItemsets
-    sets = sets.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= least)
+    Items and pairs are counted by grouping; larger sets are found by FP-growth in the baskets that hold three frequent pairs or more,
+    as no other basket can hold one. Where baskets are so large that they have more than PAIRS pairs an item, FP-growth runs on all of them.
+    """
+    from .occurrences import small
+
+    checkpoint_dir(baskets.sparkSession)
+    own = baskets.select(F.array_sort(F.array_compact(F.array_distinct(items))).alias("items"))
+    each = own.select(F.explode("items").alias("item"), (F.size("items") - 1).cast("long").alias("others"))
+    one = each.groupBy("item").agg(F.count("*").alias("freq"), F.sum("others").alias("others")).checkpoint()
+    n, others = one.agg(F.sum("freq"), F.sum("others")).first()
+    if n and others > 2 * PAIRS * n:
+        sets = fp_growth(own, least)
+    else:
+        sets = one.where(F.col("freq") >= least).select(F.array("item").alias("items"), "freq")
+        at = own.withColumn("_basket", F.monotonically_increasing_id()).select("_basket", "items", F.posexplode("items").alias("at", "x"))
+        both = at.select("_basket", "x", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("y"))
+        pairs = both.groupBy("x", "y").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).checkpoint()
+        if not pairs.isEmpty():
+            kept = both.join(F.broadcast(pairs) if small(pairs) else pairs, ["x", "y"], "left_semi").groupBy("_basket").agg(F.collect_list(F.array("x", "y")).alias("p"))
+            larger = kept.where(F.size("p") > 2).select(F.array_distinct(F.flatten("p")).alias("items")).checkpoint()
+            sets = sets.unionByName(pairs.select(F.array("x", "y").alias("items"), "freq"))
+            sets = sets if larger.isEmpty() else sets.unionByName(fp_growth(larger, least).where(F.size("items") > 2))
     # a set is closed unless one item more leaves its count as it is
     larger = sets.where(F.size("items") > 1).select(F.col("freq"), F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items")).distinct()
     return sets.join(larger, ["items", "freq"], "left_anti")
+
+
+def fp_growth(baskets: DataFrame, least: int) -> DataFrame:
+    """(items, freq): all sets of items in at least so many baskets (items, distinct), by FP-growth."""
+    from pyspark.ml.fpm import FPGrowth
+
+    n = max(1, baskets.count())
+    sets = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n)).fit(baskets).freqItemsets
+    return sets.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= least)

@@ -126,6 +126,33 @@ def test_graph(spark):
     assert graph.degree_filter(e).count() == 3
 
 
+def test_itemsets_of_every_size(spark, monkeypatch):
+    """Equal to brute force, pairs counted or not; FP-growth sees only baskets that may hold a set of three."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    rows = [r.sample(range(12), r.randint(0, 5)) + [20, 21, 22] * (i % 9 == 0) for i in range(120)] + [[40 + i, 41 + i] for i in range(80)]
+    count = {}
+    for b in rows:
+        for k in range(1, len(b) + 1):
+            for c in itertools.combinations(sorted(b), k):
+                count[c] = count.get(c, 0) + 1
+    often = {c: n for c, n in count.items() if n >= 4}
+    want = {c: n for c, n in often.items() if not any(m == n and len(d) == len(c) + 1 and set(c) < set(d) for d, m in often.items())}
+    seen, grow = [], graph.fp_growth
+    monkeypatch.setattr(graph, "fp_growth", lambda b, least: seen.append(b.count()) or grow(b, least))
+    frame = spark.createDataFrame([(b,) for b in rows], "b array<long>")
+    found = lambda: {tuple(x["items"]): x["freq"] for x in graph.frequent_itemsets(frame, "b", 4).collect()}
+    assert max(map(len, want)) > 2 and found() == want and seen[0] <= 120
+    monkeypatch.setattr(graph, "PAIRS", 0)
+    assert found() == want and seen[1] == len(rows)
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "fp_growth", None)  # no sets of two: nothing to grow
+    alone = spark.createDataFrame([([1, 2],), ([1, 3],), ([2],), (None,)], "b array<long>")
+    assert {tuple(x["items"]): x["freq"] for x in graph.frequent_itemsets(alone, "b", 2).collect()} == {(1,): 2, (2,): 2}
+
+
 def test_itemsets(spark):
     b = spark.createDataFrame([(["a", "b"],), (["a", "b"],), (["a", "c"],)], "items array<string>")
     assert cells(graph.frequent_itemsets(b.select("items"), "items", 2).select(F.array_join("items", "").alias("i"), "freq"), "i", "freq") == {("ab",): 2, ("a",): 3}
